@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vanespark.llm import bpe, fingerprint, langid, linededup, simhash
+from vanespark.llm import bpe, fingerprint, langid, linededup, secretscan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest_columns(secretscan.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op6_document_fingerprints": op6_document_fingerprints,
+        "op9_secret_scans": op9_secret_scans,
         "op10_language_id": op10_language_id,
     }
 
