@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vanespark.llm import bpe, fingerprint, langid, linededup, secretscan, simhash
+from vanespark.llm import bpe, fingerprint, langid, linededup, mixing, secretscan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "domain", "lang", "source", "tokens", "copies")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest_columns(secretscan.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -46,10 +51,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op6_document_fingerprints": op6_document_fingerprints,
+        "op7_mix_to_weights": op7_mix_to_weights,
         "op9_secret_scans": op9_secret_scans,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix_to_weights": mixing.oracle_sql()}
