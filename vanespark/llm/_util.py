@@ -54,6 +54,12 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return table_of(df, name)[0]
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` if it only reads files, so that every read gives the same rows in the same tasks; else a written copy of it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return written(df, "settled") if any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "Join", "ExistingRDD")) or "FileScan" not in plan else df
+
+
 def cols(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 

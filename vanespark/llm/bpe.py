@@ -17,7 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vanespark.llm._util import cols, record_batch, utf8
+from vanespark.llm._util import cols, record_batch, settled, utf8
 
 #: A block ends with the document that brings it to so many distinct words or bytes of text.
 BLOCK_WORDS = 120_000
@@ -79,7 +79,7 @@ def _blocks(docs: DataFrame, block_words: int, block_bytes: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "block long, slot int, word binary, doc_id long, words binary")
+    return settled(docs.select("doc_id", "text")).mapInArrow(run, "block long, slot int, word binary, doc_id long, words binary")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, finish=None, out: pa.Schema | None = None, block_words: int = BLOCK_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vanespark.llm import bpe, fingerprint, langid, linededup, mixing, secretscan, simhash
+from vanespark.llm import bpe, fingerprint, langid, linededup, lmscore, mixing, secretscan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", "tokens", "copies")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest_columns(secretscan.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op6_document_fingerprints": op6_document_fingerprints,
         "op7_mix_to_weights": op7_mix_to_weights,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_secret_scans": op9_secret_scans,
         "op10_language_id": op10_language_id,
     }
