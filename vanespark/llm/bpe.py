@@ -146,3 +146,12 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         return hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
     return encode(docs, vocabulary, finish, pa.schema([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+
+
+def token_table(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): training-ready ids with the digests that verify them."""
+
+    def finish(ids: bytes, text: bytes) -> tuple:
+        return np.frombuffer(ids, dtype="<u4").astype(np.int32), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
+
+    return encode(docs, vocabulary, finish, pa.schema([("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vanespark.llm._util import adjacency_roots, cols, key_runs, record_batch, tiled, utf8, written
@@ -146,13 +147,121 @@ def fingerprint_hex(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of near-duplicates: the smallest doc_id; of rows that repeat it, all of
-    whose text is least by hash stay one. Rows with a null doc_id stay only if their group has no id at all."""
-    return keep_first(docs, near_duplicates(docs, width, radius))
+#: Wide fingerprints: two 64-bit words, compared in buckets of sampled bits.
+WIDE_BITS = 128
+BAND_BITS = 12
+BANDS = 24
+#: Bits that may differ at a similarity of 0.8 (cosine 0.89 between shingle sets, 19 bits expected) and one deviation more.
+WIDE_RADIUS = 24
+
+
+def wide_fingerprint_of(text: bytes, width: int = 5, seed: int = 42) -> tuple[int, int]:
+    """As :func:`fingerprint_of` over shingles of ``width`` words with 128-bit hashes: XXH64 and a mix of it."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0
+    if len(words) < width:
+        shingles, n = iter((b" ".join(words),)), 1
+    else:
+        n = len(words) - width + 1
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(seed))
+    ones = np.zeros(WIDE_BITS, dtype=np.int64)
+    for start in range(0, n, CHUNK):
+        m = min(CHUNK, n - start)
+        h = np.empty((m, 2), dtype="<u8")
+        h[:, 0] = np.fromiter(hashes, dtype="<u8", count=m)
+        x = (h[:, 0] ^ (h[:, 0] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h[:, 1] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    a, b = np.packbits(ones * 2 > n, bitorder="little").view("<u8")
+    return int(a), int(b)
+
+
+_WIDE = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64())])
+
+
+def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, text = cols(b, "doc_id", "text")
+            f = np.array([wide_fingerprint_of(t, width) for t in utf8(text)], dtype=np.uint64).reshape(-1, 2)
+            yield record_batch(_WIDE, [ids, np.ascontiguousarray(f[:, 0]).view(np.int64), np.ascontiguousarray(f[:, 1]).view(np.int64)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f0 long, f1 long")
+
+
+def _band(k: int) -> F.Column:
+    """Key of band k: BAND_BITS bits at places drawn anew for every round through the fingerprint's bits."""
+    each = WIDE_BITS // BAND_BITS
+    places = np.random.Generator(np.random.Philox(key=[3, k // each])).permutation(WIDE_BITS)[(k % each) * BAND_BITS :][:BAND_BITS]
+    key = F.lit(0).cast("long")
+    for i, at in enumerate(places):
+        bit = F.shiftrightunsigned("f1" if at >= 64 else "f0", int(at) % 64).bitwiseAND(F.lit(1).cast("long"))
+        key = key.bitwiseOR(F.shiftleft(bit, i))
+    return key
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Edges (a, b) between nodes of ``fps`` (node, f0, f1) that share a band's bits and differ in at most ``radius`` bits.
+
+    A pair that differs in 20 of 128 bits is met in at least one of the bands with a probability of 0.96. Inside a bucket
+    every two are compared, tile by tile; a spanning forest of the links is returned.
+    """
+    bands = F.array(*(F.struct(F.lit(k).alias("t"), _band(k).alias("k")) for k in range(BANDS)))
+    rows = fps.select("node", "f0", "f1", F.explode(bands).alias("x")).select("node", "f0", "f1", (F.col("x.t") * (1 << BAND_BITS) + F.col("x.k")).alias("k"))
+    keys = ["k", "tile_a", "tile_b"]
+    rows = tiled(rows, ["k"], "node", tile_rows).repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in key_runs(batches, keys):
+            node, f0, f1, own, ta, tb = (x.to_numpy(zero_copy_only=False) for x in cols(r, "node", "f0", "f1", "tile_own", "tile_a", "tile_b"))
+            u0, u1 = f0.view(np.uint64), f1.view(np.uint64)
+            adj = np.zeros((len(node), len(node)), dtype=bool)
+            left = own == ta[0]
+            cross = ta[0] != tb[0]
+            pc = np.bitwise_count(u0).astype(np.int16) + np.bitwise_count(u1)
+            order = np.argsort(pc, kind="stable")
+            for s in range(0, len(node), 256):
+                i = order[s : s + 256]
+                hi = np.searchsorted(pc[order], pc[i[-1]] + radius, "right")
+                j = order[s:hi]
+                d = np.bitwise_count(u0[i][:, None] ^ u0[j][None, :])
+                d += np.bitwise_count(u1[i][:, None] ^ u1[j][None, :])
+                near = d <= radius
+                if cross:
+                    near &= left[i][:, None] != left[j][None, :]
+                x, y = np.nonzero(near)
+                adj[i[x], j[y]] = adj[j[y], i[x]] = True
+            np.fill_diagonal(adj, False)
+            root = adjacency_roots(adj)
+            at = np.flatnonzero(root != np.arange(len(root)))
+            if len(at):
+                yield record_batch(_EDGE, [node[at], node[root[at]]])
+
+    return rows.select("node", "f0", "f1", "tile_own", *keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(doc_id, component_id) of documents whose shingles of ``width`` words are alike, 0.8 or more by default.
+
+    The 128-bit fingerprint estimates the similarity of shingle sets: ``radius`` bits of difference are 0.8 and one standard
+    deviation below. component_id is the smallest doc_id of those connected. Nulls, repeated rows and empty tables are treated
+    as in :func:`near_duplicates`.
+    """
+    fp = written(wide_fingerprints(docs, width), "wide").withColumn("node", F.xxhash64("f0", "f1"))
+    nodes = fp.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    comp = connected_components(wide_links(nodes.select("node", "f0", "f1"), radius, tile_rows))
+    of = nodes.join(comp, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return fp.join(of.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    firsts = groups.where("doc_id <=> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_first")
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stand for their group: those of its smallest doc_id; of several rows with this doc_id the one
+    whose text has the least hash. ``groups`` is (doc_id, component_id) for each row."""
+    firsts = groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_first")).agg(F.count(F.lit(1)).alias("_rows"))
+    firsts = written(firsts, "firsts")
+    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")))
+    again = kept.where("_rows > 1").withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_nth = 1")
+    return kept.where("_rows = 1").select(*docs.columns).unionByName(again.select(*docs.columns))
