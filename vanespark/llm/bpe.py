@@ -13,15 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from vanespark.llm._util import cols, record_batch, settled, utf8
 
 #: A block ends with the document that brings it to so many distinct words or bytes of text.
-BLOCK_WORDS = 120_000
-BLOCK_BYTES = 12 << 20
+BLOCK_WORDS = 500_000
+BLOCK_BYTES = 32 << 20
+#: Documents to a packed row.
+ROW_DOCS = 256
 _tokenizers: dict = {}
 
 
@@ -43,35 +48,43 @@ def _tokenizer(model: bytes):
     return _tokenizers[key]
 
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("word", pa.binary()), ("doc_id", pa.int64()), ("words", pa.binary())])
+_BLOCKS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("word", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary())])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """32-bit integers as compressed planes of bytes."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def _blocks(docs: DataFrame, block_words: int, block_bytes: int) -> DataFrame:
-    """For each block: a row (slot, word) for each distinct word, and a row (doc_id, words) for each document, words being its
-    slots in order as compressed 32-bit integers."""
+    """For each block: a row (slot, word) for each distinct word, and rows (ids, sizes, words) for its documents: their
+    doc_ids, their numbers of words, and the slots of all these words in order, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         slots: dict[bytes, int] = {}
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[int | None, np.ndarray]] = []
         size = 0
-        pack = zstandard.ZstdCompressor(level=1).compress
 
         def flush() -> Iterator[pa.RecordBatch]:
-            n = len(slots)
-            if n:
-                yield record_batch(_BLOCKS, [[block] * n, np.arange(n, dtype=np.int32), list(slots), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())])
-            m = len(held)
-            for at in range(0, m, 4096):
-                some = held[at : at + 4096]
-                yield record_batch(_BLOCKS, [[block] * len(some), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()), [x[0] for x in some], [x[1] for x in some]])
+            words = list(slots)
+            for at in range(0, len(words), 65536):
+                some = words[at : at + 65536]
+                n = len(some)
+                yield record_batch(_BLOCKS, [[block] * n, np.arange(at, at + n, dtype=np.int32), some, [None] * n, [None] * n, [None] * n])
+            for at in range(0, len(held), ROW_DOCS):
+                some = held[at : at + ROW_DOCS]
+                yield record_batch(_BLOCKS, [[block], [None], [None], [[x[0] for x in some]], [[len(x[1]) for x in some]], [_pack(np.concatenate([x[1] for x in some]))]])
 
         for b in batches:
             ids, text = cols(b, "doc_id", "text")
             for i, t in zip(ids.to_pylist(), utf8(text)):
                 words = t.split()
-                at = np.fromiter((slots.setdefault(w, len(slots)) for w in words), dtype="<i4", count=len(words))
-                held.append((i, pack(at.tobytes())))
+                held.append((i, np.fromiter((slots.setdefault(w, len(slots)) for w in words), dtype="<i4", count=len(words))))
                 size += len(t)
                 if len(slots) >= block_words or size >= block_bytes:
                     yield from flush()
@@ -79,7 +92,33 @@ def _blocks(docs: DataFrame, block_words: int, block_bytes: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return settled(docs.select("doc_id", "text")).mapInArrow(run, "block long, slot int, word binary, doc_id long, words binary")
+    return settled(docs.select("doc_id", "text")).mapInArrow(run, "block long, slot int, word binary, ids array<long>, sizes array<int>, words binary")
+
+
+def _coded(uses: DataFrame, shipped) -> DataFrame:
+    """(coded_block, slot, ids) from (block, slot, word): rows of a word meet, the word is encoded once, and each of its rows
+    gets its ids (little-endian 32-bit integers)."""
+    schema = pa.schema([("coded_block", pa.int64()), ("slot", pa.int32()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, _ = _tokenizer(shipped.value)
+        last, last_ids = None, b""
+        for b in batches:
+            block, slot, word = cols(b, "block", "slot", "word")
+            runs = pa.compute.run_end_encode(word)
+            words = runs.values.to_pylist()
+            ends = np.asarray(runs.run_ends)
+            new = words[1:] if words and words[0] == last else words
+            texts = [x.decode("utf-8", "replace") for x in new]
+            ids = [np.array(e.ids, dtype="<u4").tobytes() for at in range(0, len(texts), 2000) for e in t.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
+            if len(new) < len(words):
+                ids.insert(0, last_ids)
+            if words:
+                last, last_ids = words[-1], ids[-1]
+            each = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
+            yield record_batch(schema, [block, slot, pa.array(ids, type=pa.binary()).take(pa.array(each))])
+
+    return uses.repartition("word").sortWithinPartitions("word").mapInArrow(run, "coded_block long, slot int, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, finish=None, out: pa.Schema | None = None, block_words: int = BLOCK_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -97,10 +136,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, finish=None, out: pa.
         out = pa.schema([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
     full = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *out])
     blocks = _blocks(docs, block_words, block_bytes)
-    uses = blocks.where("word is not null").select("block", "slot", "word")
-    table = _encoded(uses.select("word").distinct(), shipped)
-    coded = uses.join(table, "word").select("block", "slot", "ids")
-    texts = blocks.where("word is null").selectExpr("block AS text_block", "doc_id", "words")
+    coded = _coded(blocks.where("word is not null").select("block", "slot", "word"), shipped)
+    texts = blocks.where("word is null").select("block", F.col("ids").alias("doc_ids"), "sizes", "words")
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         _, pieces = _tokenizer(shipped.value)
@@ -110,33 +147,20 @@ def encode(docs: DataFrame, vocabulary: str | None = None, finish=None, out: pa.
             ids[s] = x
         piece = [p.encode() for p in pieces]
         decoded = [b" ".join([piece[i] for i in np.frombuffer(x, dtype="<u4")]) for x in ids]  # the id-to-piece join: a fixed vocabulary
-        unpack = zstandard.ZstdDecompressor().decompress
-        rows = []
-        for w in left.column("words").to_pylist():
-            at = np.frombuffer(unpack(w), dtype="<i4").tolist()
-            own = b"".join([ids[i] for i in at])
-            text = b" ".join([decoded[i] for i in at if ids[i]])
-            rows.append((len(own) // 4, *finish(own, text)))
-        return pa.Table.from_arrays([left.column("doc_id"), *(pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(list(full)[1:]))], schema=full)
-
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    return texts.groupBy("text_block").cogroup(coded.groupBy("block")).applyInArrow(run, from_arrow_schema(full))
-
-
-def _encoded(words: DataFrame, shipped) -> DataFrame:
-    """(word, ids) for each row of ``words``, ids as little-endian 32-bit integers."""
-    schema = pa.schema([("word", pa.binary()), ("ids", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, _ = _tokenizer(shipped.value)
-        for b in batches:
-            col = b.column(0)
-            texts = [x.decode("utf-8", "replace") for x in col.to_pylist()]
-            ids = [np.array(e.ids, dtype="<u4").tobytes() for at in range(0, len(texts), 2000) for e in t.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
-            yield record_batch(schema, [col, ids])
-
-    return words.mapInArrow(run, "word binary, ids binary")
+        doc_ids: list = []
+        rows: list = []
+        for some, sizes, words in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "sizes", "words"))):
+            doc_ids += some
+            every = _unpack(words).tolist()
+            end = 0
+            for n in sizes:
+                at = every[end : end + n]
+                end += n
+                own = b"".join([ids[i] for i in at])
+                rows.append((len(own) // 4, *finish(own, b" ".join([decoded[i] for i in at if ids[i]]))))
+        return pa.Table.from_arrays([pa.array(doc_ids, type=pa.int64()), *(pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(list(full)[1:]))], schema=full)
+
+    return texts.groupBy("block").cogroup(coded.groupBy("coded_block")).applyInArrow(run, from_arrow_schema(full))
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vanespark.llm import bpe, fingerprint, langid, linededup, lmscore, mixing, secretscan, simhash
+from vanespark.llm import bpe, embdedup, fingerprint, langid, linededup, lmscore, mixing, secretscan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_deleted", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_encode_decode": op1_bpe_encode_decode,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_document_fingerprints": op6_document_fingerprints,
         "op7_mix_to_weights": op7_mix_to_weights,
         "op8_lm_scoring": op8_lm_scoring,
