@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vanespark.functions.vectors import normalized
+from vanespark.functions.vectors import let, normalized
 
 SLOTS = 32
 #: Angular rates by day.
@@ -38,8 +38,8 @@ def slot(tag: Column) -> Column:
 
 def encode_context(tags: Column) -> Column:
     """Counts of tags by slot, of length one; zeros without tags."""
-    slots = F.transform(tags, slot)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    every = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    counts = let(F.transform(tags, slot), lambda slots: F.transform(every, lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double")))
     return normalized(counts)
 
 

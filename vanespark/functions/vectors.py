@@ -35,6 +35,11 @@ def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it: inside a lambda nothing else is shared."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     return _sum(F.zip_with(_col(a), _col(b), lambda x, y: x * y))
 
@@ -49,14 +54,12 @@ def norm(a: str | Column) -> Column:
 
 def cosine(a: str | Column, b: str | Column) -> Column:
     """0 where either side has no length."""
-    na, nb = norm(a), norm(b)
-    return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+    return let(norm(a) * norm(b), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n))
 
 
 def normalized(a: str | Column) -> Column:
     """Length one; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n == 0, _col(a)).otherwise(F.transform(_col(a), lambda x: x / n))
+    return let(_col(a), lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def subtract(a: str | Column, b: str | Column) -> Column:
