@@ -45,13 +45,13 @@ def wilson_lower_value(successes: float, n: float, z: float = 1.96) -> float:
 def nearest_rank(values: str, p: float) -> Column:
     """Aggregate: the value at place round(p * (n - 1)), half up, of n sorted ones; null if there are none."""
     xs = F.array_sort(F.collect_list(values))
-    return F.try_element_at(xs, (F.floor(F.lit(p) * (F.size(xs) - 1) + 0.5) + 1).cast("int"))
+    return F.get(xs, F.floor(F.lit(p) * (F.size(xs) - 1) + 0.5).cast("int"))
 
 
 def floor_rank(values: str, p: float) -> Column:
     """Aggregate: the value at place floor(p * n), the last at most."""
     xs = F.array_sort(F.collect_list(values))
-    return F.try_element_at(xs, (F.least(F.floor(F.lit(p) * F.size(xs)), F.size(xs) - 1) + 1).cast("int"))
+    return F.get(xs, F.least(F.floor(F.lit(p) * F.size(xs)), F.size(xs) - 1).cast("int"))
 
 
 def percentile(xs: list[float], p: float) -> float:
