@@ -74,6 +74,17 @@ def strs(col: pa.Array) -> list[str]:
     return ["" if x is None else x for x in col.to_pylist()]
 
 
+def tidy() -> None:
+    """Give memory that this worker no longer uses back to the system, for the tasks after it and beside it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 def record_batch(schema: str | pa.Schema, data: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d, type=f.type) if not isinstance(d, pa.Array) else d for d, f in zip(data, schema)], schema=schema)
 
