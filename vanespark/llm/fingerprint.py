@@ -55,6 +55,11 @@ def collisions(docs: DataFrame, digests: DataFrame) -> DataFrame:
             yield record_batch(_KEY, [[digest(c) for c in canon], canon])
 
     texts = docs.select("text").mapInArrow(run, "digest binary, canon binary").join(twice, "digest", "left_semi")
+    return unequal(texts)
+
+
+def unequal(texts: DataFrame) -> DataFrame:
+    """(digest) under which (digest, canon) has different bytes."""
     return texts.groupBy("digest").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("digest")
 
 
