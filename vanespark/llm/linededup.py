@@ -139,3 +139,21 @@ def drop_emptied(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` after :func:`dedup_lines`, without those of which nothing but white space is left because lines were deleted."""
     out = dedup_lines(docs, min_words)
     return out.where(F.expr(r"not (n_deleted > 0 and text rlike '^\\s*$')")).select(*docs.columns)
+
+
+def oracle_sql(min_words: int = MIN_WORDS) -> str:
+    """DuckDB SQL for (doc_id, n_deleted, n_chars_left, text_sha256): runs are compared as strings, without ranks."""
+    space = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+    ahead, back = f"ROWS BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING", f"ROWS BETWEEN {min_words - 1} PRECEDING AND CURRENT ROW"
+    reach = lambda xs: f"list_min(list_filter(range(1, len({xs}) + 1), lambda m: list_sum(list_transform({xs}[1:m], lambda x: x.w)) >= {min_words}))"
+    return f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, i, trim(translate(ls[i], {space}, '     '), ' ') AS l FROM d, unnest(range(1, len(ls) + 1)) t(i)),
+p AS (SELECT doc_id, i, l, length(l) - length(replace(l, ' ', '')) + 1 AS w, row_number() OVER (ORDER BY doc_id, i) AS pos FROM u WHERE l <> ''),
+a AS (SELECT doc_id, i, pos, list({{'l': l, 'w': w}}) OVER (PARTITION BY doc_id ORDER BY i {ahead}) AS f, list_reverse(list({{'l': l, 'w': w}}) OVER (PARTITION BY doc_id ORDER BY i {back})) AS b FROM p),
+m AS (SELECT pos, f, b, {reach('f')} AS mf, {reach('b')} AS mb FROM a),
+r AS (SELECT pos AS start, mf AS m, array_to_string(list_transform(f[1:mf], lambda x: x.l), chr(10)) AS run FROM m WHERE mf IS NOT NULL
+UNION SELECT pos - mb + 1, mb, array_to_string(list_transform(list_reverse(b[1:mb]), lambda x: x.l), chr(10)) FROM m WHERE mb IS NOT NULL),
+g AS (SELECT DISTINCT start + k AS pos FROM (SELECT *, min(start) OVER (PARTITION BY run) AS first FROM r), unnest(range(0, m)) t(k) WHERE start > first),
+n AS (SELECT doc_id, list(i) AS gone FROM p JOIN g USING (pos) GROUP BY doc_id),
+o AS (SELECT doc_id, coalesce(len(gone), 0)::BIGINT AS n_deleted, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END AS text FROM d LEFT JOIN n USING (doc_id))
+SELECT doc_id, n_deleted, length(text)::BIGINT AS n_chars_left, sha256(text) AS text_sha256 FROM o"""

@@ -73,4 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_to_weights": mixing.oracle_sql()}
+    return {
+        "op2_url_filters": urlfilter.oracle_sql(),
+        "op4_line_dedup": linededup.oracle_sql(),
+        "op7_mix_to_weights": mixing.oracle_sql(),
+    }

@@ -49,11 +49,14 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+_EXTENSION, _NUMBER, _HEX = r"(\.[A-Za-z]{1,5})\z", r"^[0-9]+\z", r"^[0-9a-fA-F]{8,}\z"
+
+
 def _variable(seg: Column) -> Column:
     """The wildcard of a segment that varies by nature, else null: digits with or without an extension, hex strings, long mixtures."""
-    stem = F.regexp_replace(seg, r"\.[A-Za-z]{1,5}$", "")
-    kind = F.when(stem.rlike(r"^[0-9]+$"), "{n}").when(stem.rlike(r"^[0-9a-fA-F]{8,}$"), "{hex}").when(stem.rlike(r"[0-9]") & (F.length(stem) >= 8), "{id}")
-    return F.concat(kind, F.regexp_extract(seg, r"(\.[A-Za-z]{1,5})$", 1))
+    stem = F.regexp_replace(seg, _EXTENSION, "")
+    kind = F.when(stem.rlike(_NUMBER), "{n}").when(stem.rlike(_HEX), "{hex}").when(stem.rlike("[0-9]") & (F.length(stem) >= 8), "{id}")
+    return F.concat(kind, F.regexp_extract(seg, _EXTENSION, 1))
 
 
 def _share(bad: str, n: str, to: Column) -> Column:
@@ -103,3 +106,33 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_of(rules)
     out = rows.join(scored, ["host", "template"]).withColumn("rule", rule)
     return out.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
+
+
+def oracle_sql(rules=RULES) -> str:
+    """DuckDB SQL for :func:`judge`."""
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    fits = [(f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))", h + p, v) for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + f" WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END"
+    stem = f"regexp_replace(x, '{_EXTENSION}', '')"
+    variable = f"(CASE WHEN regexp_matches({stem}, '{_NUMBER}') THEN '{{n}}' WHEN regexp_matches({stem}, '{_HEX}') THEN '{{hex}}' WHEN regexp_matches({stem}, '[0-9]') AND length({stem}) >= 8 THEN '{{id}}' END) || regexp_extract(x, '{_EXTENSION}', 1)"
+    levels = []
+    for d in range(DEPTH):
+        levels.append(f"""a{d} AS (SELECT * EXCLUDE x, coalesce({variable}, x) AS s FROM (SELECT *, seg[{d + 1}] AS x FROM t{d})),
+k{d} AS (SELECT host, template, s, sum(b) AS b, sum(n) AS n FROM a{d} WHERE s IS NOT NULL GROUP BY host, template, s),
+m{d} AS (SELECT *, count(*) OVER g AS fan, (sum(b) OVER g + 1.0::DOUBLE) / (sum(n) OVER g + 2.0::DOUBLE) AS p FROM k{d} WINDOW g AS (PARTITION BY host, template)),
+f{d} AS (SELECT *, n > 0 AND abs(b - n * p) / sqrt(greatest(n, 1) * p * (1 - p)) >= {APART} AS keep FROM m{d}),
+g{d} AS (SELECT host, template, s, CASE WHEN fan > {FAN_OUT} AND NOT keep THEN '*' WHEN starts_with(s, '{{') THEN s WHEN NOT keep AND fan > 1 THEN '*' ELSE s END AS dest FROM f{d}),
+t{d + 1} AS (SELECT host, path, b, n, seg, CASE WHEN dest IS NULL THEN template ELSE template || '/' || dest END AS template FROM a{d} LEFT JOIN g{d} USING (host, template, s))""")
+    return f"""WITH l AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+r AS (SELECT page_id, coalesce({rest}, '') AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, bad FROM r LEFT JOIN l USING (page_id)),
+c AS (SELECT host, path, coalesce(sum(bad), 0) AS b, count(bad) AS n, string_split(regexp_replace(path, '^/', ''), '/') AS seg FROM h GROUP BY host, path),
+t0 AS (SELECT host, path, b, n, CASE WHEN len(seg) > {DEPTH} THEN list_append(seg[1:{DEPTH - 1}], array_to_string(seg[{DEPTH}:], '/')) ELSE seg END AS seg, '' AS template FROM c),
+{", ".join(levels)},
+e AS (SELECT page_id, host, path, bad, template FROM h JOIN t{DEPTH} USING (host, path)),
+n AS (SELECT host, template, coalesce(sum(bad), 0)::DOUBLE AS b, count(bad)::DOUBLE AS n FROM e GROUP BY host, template),
+q AS (SELECT host, sum(b) AS hb, sum(n) AS hn FROM n GROUP BY host),
+o AS (SELECT CASE WHEN sum(hn) > 0 THEN sum(hb) / sum(hn) ELSE 0 END AS prior FROM q),
+z AS (SELECT n.host, template, (b + {SMOOTHING}::DOUBLE * ((hb + {SMOOTHING}::DOUBLE * prior) / (hn + {SMOOTHING}::DOUBLE))) / (n + {SMOOTHING}::DOUBLE) AS purity FROM n JOIN q USING (host), o)
+SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, template, round(purity, 9) AS purity FROM e JOIN z USING (host, template)"""
