@@ -12,16 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own_base: dict[str, str] = {}
 _own_dirs: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vanespark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/vanespark-{spark.sparkContext.applicationId}"
+        if app not in _own_base:
+            _own_base[app] = "file://" + tempfile.mkdtemp(prefix="vanespark-")
+        base = _own_base[app]
+    root = f"{base.rstrip('/')}/vanespark-{app}"
     if not any(d == root for _, d in _own_dirs):
         _own_dirs.append((spark, root))
     return root

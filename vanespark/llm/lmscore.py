@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanespark.llm._util import cols, record_batch, settled, utf8, written
+from vanespark.llm._util import cols, record_batch, settled, tidy, utf8, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -138,6 +138,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_b
             if rows:
                 rows[0] = (*rows[0][:-1], int(b.lengths.sum()))
                 yield record_batch(sent, list(zip(*rows)))
+        tidy()
 
     back = pa.schema([("part", pa.int64()), ("from_block", pa.int64()), ("counts", pa.binary()), ("words", pa.int64())])
 
@@ -147,7 +148,10 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_b
         _, inv = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(inv, weights=np.concatenate(n)).astype("<u8")
         own = np.split(total[inv], np.cumsum([len(g) for g in grams])[:-1])
-        return pa.Table.from_arrays([t.column("part"), t.column("block"), pa.array([_pack(x) for x in own], type=pa.binary()), t.column("words")], schema=back)
+        out = pa.Table.from_arrays([t.column("part"), t.column("block"), pa.array([_pack(x) for x in own], type=pa.binary()), t.column("words")], schema=back)
+        del grams, n, inv, total, own
+        tidy()
+        return out
 
     rows = docs.mapInArrow(send, "part long, block long, grams binary, n binary, words long")
     counts = written(rows.groupBy("part").applyInArrow(count, "part long, from_block long, counts binary, words long"), "ngrams")
@@ -172,7 +176,10 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_b
         corpus = np.concatenate(got).astype(np.int64) if got else np.empty(0, dtype=np.int64)
         if len(corpus) != len(b.grams):
             raise ValueError("the input changed between two reads: write it to a table first")
-        return pa.Table.from_arrays([left.column("doc_id"), pa.array(b.lengths), pa.array(b.scores(corpus, n_words, backoff))], schema=out)
+        scored = pa.Table.from_arrays([left.column("doc_id"), pa.array(b.lengths), pa.array(b.scores(corpus, n_words, backoff))], schema=out)
+        del b, corpus, got
+        tidy()
+        return scored
 
     texts = docs.mapInArrow(carry, "block long, nth int, doc_id long, packed binary")
     scored = texts.groupBy("block").cogroup(counts.groupBy("from_block")).applyInArrow(join, "doc_id long, n_words long, log_score double")

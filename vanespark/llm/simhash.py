@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vanespark.llm._util import adjacency_roots, cols, key_runs, record_batch, tiled, utf8, written
+from vanespark.llm._util import adjacency_roots, cols, key_runs, record_batch, tiled, tidy, utf8, written
 from vanespark.llm.components import connected_components
 
 TILE_ROWS = 2048
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             ids, text = cols(b, "doc_id", "text")
             fps = np.fromiter((fingerprint_of(t, width) for t in utf8(text)), dtype=np.uint64, count=b.num_rows)
             yield record_batch(_FP, [ids, fps.view(np.int64)])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -187,6 +188,7 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
             ids, text = cols(b, "doc_id", "text")
             f = np.array([wide_fingerprint_of(t, width) for t in utf8(text)], dtype=np.uint64).reshape(-1, 2)
             yield record_batch(_WIDE, [ids, np.ascontiguousarray(f[:, 0]).view(np.int64), np.ascontiguousarray(f[:, 1]).view(np.int64)])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f0 long, f1 long")
 
