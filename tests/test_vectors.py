@@ -259,3 +259,18 @@ def test_stream_into_delta(spark, rows, tmp_path):
     live = live_rows(spark.read.parquet(f"file://{tmp_path}/delta"), spark.createDataFrame([(4,)], "vec_id long"))
     got = {r.vec_id: r for r in live.collect()}
     assert set(got) == set(range(10)) - {4} and got[3].embedding == [0.0] * 16 and got[3].tags == 1
+
+
+def test_time_geometry_load_and_csv(spark, tmp_path):
+    m = datagen.memories(spark, 15).cache()
+    rows = m.select("vec_id", context.encode(F.col("semantic"), F.col("tags"), F.col("source"), F.lit(None).cast("string"), F.col("ts_s")).alias("embedding")).cache()
+    one = m.where("vec_id = 0").select("semantic", "tags", "source")
+    anchors = one.crossJoin(spark.createDataFrame([(1, 1_700_000_000), (2, 1_700_000_000 + 600 * 86400)], "qid long, at long"))
+    q = anchors.select("qid", context.encode(F.col("semantic"), F.col("tags"), F.col("source"), F.lit(None).cast("string"), F.col("at"), context.Scales(0.2, 0.2, 1.0)).alias("embedding"))
+    day = {r.qid: r.day for r in evaluate.mean_day(FlatIndex(rows).search(q, 10), m).collect()}
+    assert day[1] < day[2]
+    got = evaluate.load(FlatIndex(rows.limit(0).unionByName(datagen.uniform(spark, 50, 8))).search, lambda turn: datagen.agent_queries(spark, 5, 8, turn), 3, 0.1)
+    assert got["batches"] >= 1 and got["qps"] > 0
+    run = evaluate.measure(FlatIndex(rows).search, FlatIndex(rows).search(q, 3), q, 3, "exact")
+    evaluate.write_runs_csv(evaluate.runs_table(q, [run]), f"file://{tmp_path}/runs")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/runs").first()["recall"] == "1.0"

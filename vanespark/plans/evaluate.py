@@ -151,3 +151,23 @@ def context_errors(hits: DataFrame, truth: DataFrame, memories: DataFrame, queri
     wrong = joined.agg(F.avg(((F.col("d") != F.col("domain")) | (F.col("t") != F.col("topic"))).cast("int")).alias("wrong_context"))
     first = truth.where("rk = 1").select("qid", F.col("vec_id").alias("want")).join(hits.where("rk = 1").select("qid", "vec_id"), "qid", "left")
     return wrong.join(first.agg(F.avg((~F.col("want").eqNullSafe(F.col("vec_id"))).cast("int")).alias("wrong_first")))
+
+
+def mean_day(hits: DataFrame, memories: DataFrame) -> DataFrame:
+    """(qid, day): the mean day_idx of each query's hits; an early anchor's should be below a later one's."""
+    return hits.join(memories.select("vec_id", "day_idx"), "vec_id").groupBy("qid").agg(F.avg("day_idx").alias("day"))
+
+
+def load(search: Search, agents: Callable[[int], DataFrame], k: int, seconds: float) -> dict[str, float]:
+    """Batches of ``agents(round)`` one after another for a time: queries per second, and percentiles of a batch in ms."""
+    began, took, asked = time.perf_counter(), [], 0
+    while not took or time.perf_counter() - began < seconds:
+        queries = agents(len(took))
+        t = time.perf_counter()
+        asked += len({r["qid"] for r in search(queries, k).collect()})
+        took.append((time.perf_counter() - t) * 1000)
+    return {"batches": len(took), "qps": asked / sum(took) * 1000, "p50_ms": percentile(took, 0.5), "p99_ms": percentile(took, 0.99)}
+
+
+def write_runs_csv(runs: DataFrame, path: str) -> None:
+    runs.coalesce(1).write.option("header", True).csv(path)

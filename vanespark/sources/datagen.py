@@ -73,6 +73,12 @@ def perturbed_queries(rows: DataFrame, n: int, sd: float = 0.01, seed: int = 999
     return picked.mapInArrow(run, "qid long, embedding array<float>")
 
 
+def agent_queries(spark: SparkSession, agents: int, dim: int, turn: int = 0, seed: int = 0) -> DataFrame:
+    """(qid, embedding): one query in [0, 1) for each agent and turn."""
+    rows = _table(spark, agents, lambda i: unit_floats(splitmix((seed * 1_000_003 + i) * 1_000_003 + turn, dim)), 0, False)
+    return rows.withColumnRenamed("vec_id", "qid")
+
+
 def semantic_base(name: str, dim: int = 128) -> np.ndarray:
     """A unit vector that a name stands for."""
     v = unit_floats(splitmix(fnv1a(name.encode()), dim)) * 2 - 1
