@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanespark.llm._util import cols, record_batch, strs
+from vanespark.llm._util import cols, record_batch, strs, tidy
 
 DIM = 512
 SEED = 20
@@ -83,23 +83,26 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 yield record_batch(_COUNTS, [[lang] * len(grams), grams, n])
 
         for b in batches:
-            text, lang = cols(b, "text", "lang")
-            by: dict[str, list[np.ndarray]] = {}
-            for t, g in zip(strs(text), lang.to_pylist()):
-                if len(x := trigrams(t)):
-                    by.setdefault(g, []).append(x)
-            for g, xs in by.items():
-                held.setdefault(g, []).append(np.unique(np.concatenate(xs), return_counts=True))
-                size += len(held[g][-1][0])
-            if size > 4_000_000:
+            for at in range(0, b.num_rows, 256):
+                text, lang = cols(b.slice(at, 256), "text", "lang")
+                by: dict[str, list[np.ndarray]] = {}
+                for t, g in zip(strs(text), lang.to_pylist()):
+                    if len(x := trigrams(t)):
+                        by.setdefault(g, []).append(x)
+                for g, xs in by.items():
+                    held.setdefault(g, []).append(np.unique(np.concatenate(xs), return_counts=True))
+                    size += len(held[g][-1][0])
+            if size > 2_000_000:
                 out = list(merged())
-                if sum(x.num_rows for x in out) > 2_000_000:
+                if sum(x.num_rows for x in out) > 1_000_000:
                     yield from out
                     held, size = {}, 0
                 else:
                     held = {x.column(0)[0].as_py(): [(x.column(1).to_numpy(), x.column(2).to_numpy())] for x in out}
                     size = sum(x.num_rows for x in out)
         yield from merged()
+        held.clear()
+        tidy()
 
     return rows.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -171,6 +174,7 @@ def predict(docs: DataFrame, langs: list[str], proto: np.ndarray, dim: int = DIM
                     lang[k] = langs[x]
                 score[known] = np.clip(s[known, best], 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
+        tidy()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
