@@ -21,6 +21,7 @@ SEED = 7
 #: Part of all tokens that the budget is, as a fraction of whole numbers.
 BUDGET = (1, 2)
 MAX_EPOCHS = 2
+BROADCAST_LEAVES = 100_000
 SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 
 
@@ -75,6 +76,12 @@ def _order_key(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
+def _by_leaf(rows: DataFrame, leaves: DataFrame, leaf: list[str]) -> DataFrame:
+    """``rows`` with their leaf's columns: leaves are broadcast up to a checked number, as a hot leaf's rows are best left where
+    they are; beyond it they are joined by a shuffle."""
+    return rows.join(F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves, leaf)
+
+
 def mix(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source and others) that the mix takes, with domain, tokens and copies, the
     number of epochs that hold the row.
@@ -88,18 +95,17 @@ def mix(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX
     """
     docs = docs.select(*(c for c in docs.columns if c not in ("domain", "tokens", "copies")))
     leaf = ["_domain", "_lang", "_source"]
-    # salted, as a leaf may hold a third of all rows
     slim = written(_leaved(docs.select("doc_id", "text", "lang", "source")).select("doc_id", *leaf, tokens_of(F.col("text")).alias("tokens")), "mix")
     totals = slim.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").toDF(*LEVELS, "tokens")
     share = budgets(totals, budget, max_epochs).toDF(*leaf, "_total", "_budget")
     full = F.least(F.floor(F.col("_budget") / F.col("_total")), F.lit(max_epochs)).cast("int")
     share = written(share.withColumn("_epoch", full).withColumn("_rest", F.col("_budget") - F.col("_epoch") * F.col("_total")), "share")
-    ranged = slim.join(share, leaf).withColumn("_range", F.substring(_order_key(seed), 1, 4))
+    ranged = _by_leaf(slim, share, leaf).withColumn("_range", F.substring(_order_key(seed), 1, 4))
     sums = ranged.groupBy(*leaf, "_rest", "_range").agg(F.sum("tokens").alias("t"))
     run = F.sum("t").over(W.partitionBy(*leaf).orderBy("_range"))
     cut = sums.withColumn("upto", run).where("upto > _rest and upto - t <= _rest").select(*leaf, F.col("_range").alias("_cut"), (F.col("_rest") - F.col("upto") + F.col("t")).alias("_left"))
     plan = written(share.join(cut, leaf, "left").select(*leaf, "_epoch", "_cut", "_left"), "plan")
-    rows = _leaved(docs).join(plan, leaf).withColumn("_key", _order_key(seed)).withColumn("_range", F.substring("_key", 1, 4))
+    rows = _by_leaf(_leaved(docs), plan, leaf).withColumn("_key", _order_key(seed)).withColumn("_range", F.substring("_key", 1, 4))
     rows = rows.withColumn("tokens", tokens_of(F.col("text")))
     # rows before the cut are in, rows after it are out; null cut: the budget is a whole number of epochs
     sure = rows.where("_cut is null or _range <> _cut").withColumn("copies", F.col("_epoch") + F.when(F.col("_range") < F.col("_cut"), 1).otherwise(0))
