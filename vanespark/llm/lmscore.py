@@ -25,7 +25,7 @@ from vanespark.llm._util import cols, record_batch, settled, tidy, utf8, written
 ORDER = 3
 BACKOFF = 0.4
 #: A block ends with the document that brings it to so many bytes of text.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Bytes of input for each partition of the count tables.
 PART_BYTES = 4 << 20
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
@@ -45,12 +45,13 @@ class Block:
         words = [t.lower().split() for t in texts]
         self.lengths = np.array([len(w) for w in words], dtype=np.int64)
         total = int(self.lengths.sum())
-        flat = np.fromiter((ids.setdefault(x, len(ids)) for w in words for x in w), dtype=np.int64, count=total)
+        flat = np.fromiter((ids.setdefault(x, len(ids)) for w in words for x in w), dtype=np.int32, count=total)
         unit = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), dtype=np.uint64, count=len(ids))[flat]
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
-        first = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        nth = np.arange(total) - first
-        self.place = [np.flatnonzero(nth >= k) for k in range(order)]
+        del ids, words, flat
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
+        nth = np.arange(total) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.place = [np.flatnonzero(nth >= k).astype(np.int32) for k in range(order)]
+        del nth
         h, every = unit, [unit]
         for k in range(1, order):
             longer = np.zeros(total, dtype=np.uint64)
@@ -58,8 +59,11 @@ class Block:
             longer[p] = _stir(h[p - 1] * _C[0] + unit[p] * _C[1] + _C[2] * np.uint64(k))
             h = longer
             every.append(h[p])
-        self.grams, at = np.unique(np.concatenate(every), return_inverse=True)
-        self.at = np.split(at, np.cumsum([len(e) for e in every])[:-1])
+        sizes = [len(e) for e in every]
+        flat = np.concatenate(every)
+        del every, h, unit
+        self.grams, at = np.unique(flat, return_inverse=True)
+        self.at = np.split(at.astype(np.int32), np.cumsum(sizes)[:-1])
 
     def counts(self) -> np.ndarray:
         return sum(np.bincount(a, minlength=len(self.grams)) for a in self.at)
@@ -70,7 +74,7 @@ class Block:
         room = max(1, len(self.grams))
         left = []  # for each order and word, the count in other documents of the n-gram that ends there
         for place, at in zip(self.place, self.at):
-            _, inv, n = np.unique(self.doc[place] * room + at, return_inverse=True, return_counts=True)
+            _, inv, n = np.unique(self.doc[place].astype(np.int64) * room + at, return_inverse=True, return_counts=True)
             c = np.zeros(total, dtype=np.int64)
             c[place] = corpus[at] - n[inv]
             left.append(c)
@@ -103,14 +107,15 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[
     texts: list[bytes] = []
     size = 0
     for b in batches:
-        i, t = cols(b, "doc_id", "text")
-        for one, text in zip(i.to_pylist(), utf8(t)):
-            ids.append(one)
-            texts.append(text)
-            size += len(text)
-            if size >= block_bytes:
-                yield block, ids, texts
-                block, ids, texts, size = block + 1, [], [], 0
+        for at in range(0, b.num_rows, 256):
+            i, t = cols(b.slice(at, 256), "doc_id", "text")
+            for one, text in zip(i.to_pylist(), utf8(t)):
+                ids.append(one)
+                texts.append(text)
+                size += len(text)
+                if size >= block_bytes:
+                    yield block, ids, texts
+                    block, ids, texts, size = block + 1, [], [], 0
     if ids:
         yield block, ids, texts
 
