@@ -329,3 +329,36 @@ def test_trigrams_do_not_depend_on_pieces(monkeypatch):
     whole = langid.trigrams(text)
     monkeypatch.setattr(langid, "PIECE", 7)
     assert (langid.trigrams(text) == whole).all()
+
+
+def _shingles(text, width=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def test_similar_documents_are_those_of_all_pairs(spark):
+    """Pairs planted from just under to just over the threshold, of which all and only those at 0.8 or more link."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(40)]
+    texts = []
+    for _ in range(160):
+        base = [word() for _ in range(rng.randint(60, 200))] + common * rng.randint(0, 1)
+        cut = round(len(base) * rng.choice([0.80, 0.81, 0.83, 0.85, 0.6, 0.65, 0.7, 0.75, 0.79]))
+        texts += [base, base[:cut]]
+    hub = [word() for _ in range(120)]  # a group of which many are linked only by way of others
+    for _ in range(60):
+        copy = list(hub)
+        for at in rng.sample(range(120), 3):
+            copy[at] = word()
+        texts.append(copy)
+    texts += [["only", "four", "short", "words"], ["only", "four", "short", "words"], ["a"], ["b"]]
+    texts = [" ".join(t) for t in texts]
+    sets = [_shingles(t) for t in texts]
+    links = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    n = sum(links(2 * i, 2 * i + 1) for i in range(160))
+    assert 40 < n < 120
+    want = _components(list(range(len(texts))), links)
+    table = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table, tile_rows=16).collect()}
+    assert [got[i] for i in range(len(texts))] == want

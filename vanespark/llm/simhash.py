@@ -148,112 +148,241 @@ def fingerprint_hex(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Wide fingerprints: two 64-bit words, compared in buckets of sampled bits.
-WIDE_BITS = 128
-BAND_BITS = 12
-BANDS = 24
-#: Bits that may differ at a similarity of 0.8 (cosine 0.89 between shingle sets, 19 bits expected) and one deviation more.
-WIDE_RADIUS = 24
-
-
-def wide_fingerprint_of(text: bytes, width: int = 5, seed: int = 42) -> tuple[int, int]:
-    """As :func:`fingerprint_of` over shingles of ``width`` words with 128-bit hashes: XXH64 and a mix of it."""
+#: Shingle sets link at this Jaccard similarity or more, as a fraction.
+SIMILARITY = (4, 5)
+#: Documents that common shingles are learned from, about, and shingles kept of them, at most. Both only choose the order in
+#: which shingles are looked at; the links are the same with any order.
+ORDER_SAMPLE = 4000
+COMMON = 100_000
+#: Rounds of comparing each set with one other of its buckets, before all that are still apart are compared; none where all
+#: pairs are at most so many for each row of a bucket.
+ROUNDS, FEW_PAIRS = 6, 4
+
+
+def shingles_of(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The set of shingles of :func:`fingerprint_of` as sorted XXH64 hashes; empty without a word."""
     words = text.lower().split()
-    if not words:
-        return 0, 0
     if len(words) < width:
-        shingles, n = iter((b" ".join(words),)), 1
+        shingles, n = iter((b" ".join(words),)), int(len(words) > 0)
     else:
         n = len(words) - width + 1
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(seed))
-    ones = np.zeros(WIDE_BITS, dtype=np.int64)
-    for start in range(0, n, CHUNK):
-        m = min(CHUNK, n - start)
-        h = np.empty((m, 2), dtype="<u8")
-        h[:, 0] = np.fromiter(hashes, dtype="<u8", count=m)
-        x = (h[:, 0] ^ (h[:, 0] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h[:, 1] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    a, b = np.packbits(ones * 2 > n, bitorder="little").view("<u8")
-    return int(a), int(b)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8", count=n))
+
+
+def common_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; documents) of the commonest shingles of a sample of about ORDER_SAMPLE documents."""
+    parts = max(1, docs.count() // ORDER_SAMPLE)
+    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in utf8(cols(b, "text")[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t, width).view(np.int64))], names=["h"])
+
+    counts = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n shingles, rare ones first. Two sets at ``similarity`` or more have one of
+    these in common: the smaller one would else miss more of its shingles than it may."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    keep = n + (-similarity[0] * n) // similarity[1] + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+        if rank.any():
+            return shingles[np.lexsort((shingles, rank))[:keep]]
+    return shingles[:keep]
 
 
-_WIDE = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64())])
+_SET = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary())])
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, node, prefix) for every row: node names the set of shingles; a task gives a set's prefix once."""
+    common, counts = common_shingles(docs, width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            ids, text = cols(b, "doc_id", "text")
-            f = np.array([wide_fingerprint_of(t, width) for t in utf8(text)], dtype=np.uint64).reshape(-1, 2)
-            yield record_batch(_WIDE, [ids, np.ascontiguousarray(f[:, 0]).view(np.int64), np.ascontiguousarray(f[:, 1]).view(np.int64)])
+            ids, text, own = cols(b, "doc_id", "text", "text_hash")
+            nodes = np.empty(b.num_rows, dtype=np.uint64)
+            prefixes: list[bytes | None] = []
+            for k, t in enumerate(utf8(text)):
+                s = shingles_of(t, width)
+                nodes[k] = node = xxhash.xxh3_64_intdigest(s.tobytes())
+                prefixes.append(None if node in seen else prefix_of(s, common, counts, similarity).tobytes())
+                seen.add(node)
+            yield record_batch(_SET, [ids, own, nodes.view(np.int64), prefixes])
         tidy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f0 long, f1 long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, prefix binary")
+
+
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64())])
+_MEMBER = pa.schema([("h", pa.int64()), ("node", pa.int64())])
 
 
-def _band(k: int) -> F.Column:
-    """Key of band k: BAND_BITS bits at places drawn anew for every round through the fingerprint's bits."""
-    each = WIDE_BITS // BAND_BITS
-    places = np.random.Generator(np.random.Philox(key=[3, k // each])).permutation(WIDE_BITS)[(k % each) * BAND_BITS :][:BAND_BITS]
-    key = F.lit(0).cast("long")
-    for i, at in enumerate(places):
-        bit = F.shiftrightunsigned("f1" if at >= 64 else "f0", int(at) % 64).bitwiseAND(F.lit(1).cast("long"))
-        key = key.bitwiseOR(F.shiftleft(bit, i))
-    return key
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        node, prefix = (x for x in cols(b, "node", "prefix"))
+        each = [np.frombuffer(x, dtype="<i8") for x in prefix.to_pylist()]
+        if each:
+            yield record_batch(_MEMBER, [np.concatenate(each), np.repeat(node.to_numpy(), [len(x) for x in each])])
 
 
-def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges (a, b) between nodes of ``fps`` (node, f0, f1) that share a band's bits and differ in at most ``radius`` bits.
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (h, node) those whose h more than one node has, each once."""
+    h, node, kept = np.empty(0, np.int64), np.empty(0, np.int64), False
+    for b in batches:
+        h2, n2 = (x.to_numpy() for x in cols(b, "h", "node"))
+        h, node = np.concatenate([h, h2]), np.concatenate([node, n2])
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        h, node = h[new], node[new]
+        keep = np.zeros(len(h), dtype=bool)
+        same = h[1:] == h[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        if len(h):
+            keep[0] |= kept
+            yield record_batch(_MEMBER, [h[:-1][keep[:-1]], node[:-1][keep[:-1]]])  # the last waits for what follows
+            h, node, kept = h[-1:], node[-1:], bool(keep[-1])
+    if kept:
+        yield record_batch(_MEMBER, [h, node])
 
-    A pair that differs in 20 of 128 bits is met in at least one of the bands with a probability of 0.96. Inside a bucket
-    every two are compared, tile by tile; a spanning forest of the links is returned.
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``similarity`` or more, in whole numbers."""
+    total = np.concatenate([a, b])
+    total.sort()
+    both = int((total[1:] == total[:-1]).sum())
+    return both * similarity[1] >= similarity[0] * (len(total) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets (node, shingles) are alike."""
+    num, den = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            a, b, x, y = cols(r, "a", "b", "x", "y")
+            ok = [alike(np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8"), similarity) for s, t in zip(x.to_pylist(), y.to_pylist())]
+            yield record_batch(_EDGE, [a.filter(pa.array(ok, pa.bool_())), b.filter(pa.array(ok, pa.bool_()))])
+
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    small, large = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
+    return full.where(small * den >= large * num).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def set_links(members: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(node, component) of all sets that are alike with another, exactly.
+
+    ``members`` (h, node) are the prefixes: alike sets have an h in common. A few rounds compare each node with one node of
+    another component that it meets, which joins most of a large group by as many comparisons as it has nodes; then all pairs
+    that meet and are still in different components are compared, but for those which meet too seldom: sets have no more in
+    common than what their prefixes share and what lies behind the prefix.
     """
-    bands = F.array(*(F.struct(F.lit(k).alias("t"), _band(k).alias("k")) for k in range(BANDS)))
-    rows = fps.select("node", "f0", "f1", F.explode(bands).alias("x")).select("node", "f0", "f1", (F.col("x.t") * (1 << BAND_BITS) + F.col("x.k")).alias("k"))
-    keys = ["k", "tile_a", "tile_b"]
-    rows = tiled(rows, ["k"], "node", tile_rows).repartition(*keys).sortWithinPartitions(*keys)
+    num, den = similarity
+    size = sets.select("node", (F.length("shingles") / 8).cast("long").alias("n"))
+    members = written(members.join(size, "node"), "members")
+    edges: DataFrame | None = None
+    comp: DataFrame | None = None
+
+    def placed() -> DataFrame:
+        """Rows of those buckets that hold several components."""
+        rows = members.withColumn("c", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        apart = rows.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
+        return rows.join(apart, "h")
+
+    def add(found: DataFrame) -> int:
+        nonlocal edges, comp
+        found = written(found, "found")
+        edges = found if edges is None else edges.unionByName(found)
+        n = found.count()
+        if n:
+            comp = written(connected_components(edges), "comp")
+        return n
+
+    for k in range(ROUNDS):
+        rows = written(placed(), "placed")
+        size_of = rows.groupBy("h").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        total, all_pairs = size_of.agg(F.sum("m"), F.sum(F.expr("m * (m - 1) / 2"))).first()
+        if (all_pairs or 0) <= FEW_PAIRS * (total or 0):
+            break
+        order = F.xxhash64(F.lit(k), "node")
+        rep = rows.groupBy("h").agg(F.min(F.struct(order.alias("o"), "node", "c")).alias("lo"), F.max(F.struct(order.alias("o"), "node", "c")).alias("hi"))
+        met = rows.join(rep, "h").select("node", F.when(F.col("lo.c") != F.col("c"), F.col("lo.node")).when(F.col("hi.c") != F.col("c"), F.col("hi.node")).alias("r"))
+        often = met.where("r is not null").groupBy("node", "r").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.max(F.struct("m", "r"))["r"].alias("r"))
+        pairs = often.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b")).distinct()
+        pairs = written(pairs, "pairs")
+        if add(verified(pairs, sets, similarity)) * 10 < pairs.count():
+            break
+    keys = ["h", "tile_a", "tile_b"]
+    rest = tiled(placed(), ["h"], "node", tile_rows).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
         for r in key_runs(batches, keys):
-            node, f0, f1, own, ta, tb = (x.to_numpy(zero_copy_only=False) for x in cols(r, "node", "f0", "f1", "tile_own", "tile_a", "tile_b"))
-            u0, u1 = f0.view(np.uint64), f1.view(np.uint64)
-            adj = np.zeros((len(node), len(node)), dtype=bool)
-            left = own == ta[0]
-            cross = ta[0] != tb[0]
-            pc = np.bitwise_count(u0).astype(np.int16) + np.bitwise_count(u1)
-            order = np.argsort(pc, kind="stable")
+            node, n, c, own, ta, tb = (x.to_numpy(zero_copy_only=False) for x in cols(r, "node", "n", "c", "tile_own", "tile_a", "tile_b"))
+            order = np.argsort(n, kind="stable")
+            node, n, c, left = node[order], n[order], c[order], (own == ta[0])[order]
+            more = np.searchsorted(n, n * den // num, "right") - np.arange(1, len(n) + 1)  # sets that are larger still can't be alike
             for s in range(0, len(node), 256):
-                i = order[s : s + 256]
-                hi = np.searchsorted(pc[order], pc[i[-1]] + radius, "right")
-                j = order[s:hi]
-                d = np.bitwise_count(u0[i][:, None] ^ u0[j][None, :])
-                d += np.bitwise_count(u1[i][:, None] ^ u1[j][None, :])
-                near = d <= radius
-                if cross:
-                    near &= left[i][:, None] != left[j][None, :]
-                x, y = np.nonzero(near)
-                adj[i[x], j[y]] = adj[j[y], i[x]] = True
-            np.fill_diagonal(adj, False)
-            root = adjacency_roots(adj)
-            at = np.flatnonzero(root != np.arange(len(root)))
-            if len(at):
-                yield record_batch(_EDGE, [node[at], node[root[at]]])
+                k = more[s : s + 256]
+                i = np.repeat(np.arange(s, s + len(k)), k)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+                ok = c[i] != c[j]
+                if ta[0] != tb[0]:
+                    ok &= left[i] != left[j]
+                i, j = i[ok], j[ok]
+                both = -(-num * (n[i] + n[j]) // (num + den))  # shingles that alike sets of these sizes have in common
+                after = -(-num * n[j] // den) - 1  # those behind the prefix of the larger
+                held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.maximum(1, both - after)))
+                rows += len(i)
+            if rows > 100_000:
+                yield record_batch(_MET, [np.concatenate(x) for x in zip(*held)])
+                held, rows = [], 0
+        if held:
+            yield record_batch(_MET, [np.concatenate(x) for x in zip(*held)])
 
-    return rows.select("node", "f0", "f1", "tile_own", *keys).mapInArrow(run, "a long, b long").distinct()
+    met = rest.select("node", "n", "c", "tile_own", *keys).mapInArrow(run, "a long, b long, need long")
+    often = met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("m")).where("m >= need")
+    add(verified(often.select("a", "b"), sets, similarity))
+    return comp if comp is not None else members.select("node", F.col("node").alias("component")).limit(0)
 
 
-def similar_documents(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(doc_id, component_id) of documents whose shingles of ``width`` words are alike, 0.8 or more by default.
+def similar_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(doc_id, component_id) of documents connected by a Jaccard similarity of ``similarity`` or more of their sets of
+    shingles of ``width`` words, found by their prefixes (Chaudhuri et al. 2006; Bayardo et al. 2007) and compared exactly.
 
-    The 128-bit fingerprint estimates the similarity of shingle sets: ``radius`` bits of difference are 0.8 and one standard
-    deviation below. component_id is the smallest doc_id of those connected. Nulls, repeated rows and empty tables are treated
-    as in :func:`near_duplicates`.
+    component_id is the smallest doc_id of those connected. Nulls, repeated rows and empty tables are treated as in
+    :func:`near_duplicates`.
     """
-    fp = written(wide_fingerprints(docs, width), "wide").withColumn("node", F.xxhash64("f0", "f1"))
-    nodes = fp.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
-    comp = connected_components(wide_links(nodes.select("node", "f0", "f1"), radius, tile_rows))
+    fp = written(shingle_sets(docs, width, similarity), "sets")
+    members = fp.where("prefix is not null").select("node", "prefix").mapInArrow(_spread, "h long, node long")
+    members = written(members.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, "h long, node long"), "shared")
+    texts = fp.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, text = cols(b, "node", "text")
+            yield pa.RecordBatch.from_arrays([node, pa.array([shingles_of(t, width).tobytes() for t in utf8(text)], pa.binary())], names=["node", "shingles"])
+        tidy()
+
+    own = docs.select("text", F.xxhash64("text").alias("text_hash")).join(texts, "text_hash").mapInArrow(run, "node long, shingles binary")
+    sets = written(own.dropDuplicates(["node"]), "shingles")
+    comp = set_links(members, sets, similarity, tile_rows)
+    nodes = fp.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     of = nodes.join(comp, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
     return fp.join(of.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
