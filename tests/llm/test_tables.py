@@ -138,3 +138,21 @@ def test_bad_branches_are_told_from_good_ones(spark):
 @pytest.mark.parametrize("name", ["op4_line_dedup"])
 def test_same_as_sql(spark, sf, name):
     assert_same(queries.queries()[name](spark, sf), queries.oracle_sql()[name], sf)
+
+
+def test_long_substrings_lose_no_links(spark):
+    """Pairs between 0.98 and 0.99 with the substrings of very large labels."""
+    ship_package(spark)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((600, 64))
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = rng.uniform(0.9801, 0.99, (600, 1))
+    y = cos * x + np.sqrt(1 - cos**2) * off
+    rows = [(i, v.tolist(), 1, 1) for i, v in enumerate(np.concatenate([x, y]))]
+    codes = embdedup.codes_of(embdedup.classes_of(spark.createDataFrame(rows, ROW.replace("float", "double"))), sample=0).cache()  # a rotation that isn't fitted to these pairs
+    for bits in (16, 13, 8):
+        found = embdedup.links(codes, bits).groupBy().sum("n_links").first()[0] or 0
+        assert 0.98 * 1200 <= found <= 1200, (bits, found)

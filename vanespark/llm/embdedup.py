@@ -1,7 +1,7 @@
 """Embedding near-dedup by iterative quantisation (Gong & Lazebnik 2011) and multi-index hashing (Norouzi et al. 2012).
 
-A rotation learned on a bounded sample turns vectors into balanced binary codes. Each code is cut into substrings, one table
-for each; vectors of a label that agree on a substring are candidates, and candidates are compared by their original vectors.
+A rotation learned on a bounded sample turns vectors into balanced binary codes. Substrings of the codes have one table
+each; vectors of a label that agree on a substring are candidates, and candidates are compared by their original vectors.
 """
 
 from __future__ import annotations
@@ -107,6 +107,22 @@ def substring_bits(largest_label: int) -> int:
     return int(np.clip(round(np.log2(max(2, largest_label) / 32)), 8, 16))
 
 
+def bit_masks(bits: int, threshold: float = THRESHOLD) -> list[int]:
+    """The places of each table's substring. A pair at ``threshold`` meets in one of them with the probability that eight
+    tables of 8 bits give, whatever ``bits`` is: longer substrings get more tables, cut from the bits in a new order each time
+    round."""
+    meet = 1 - np.arccos(min(threshold, 1.0)) / np.pi
+    miss = 8 * np.log1p(-(meet**8)) if meet < 1 else -1.0
+    tables = max(BITS // bits, int(np.ceil(round(miss / np.log1p(-(meet**bits)), 6))) if meet < 1 else 1)
+    rng = np.random.Generator(np.random.Philox(SEED))
+    out: list[int] = []
+    places = np.arange(BITS)
+    while len(out) < tables:
+        out += [sum(1 << int(i) for i in places[s : s + bits]) for s in range(0, BITS - bits + 1, bits)]
+        places = rng.permutation(BITS)
+    return out[:tables]
+
+
 _LINK = pa.schema([("rep", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
 
 
@@ -115,14 +131,14 @@ def links(codes: DataFrame, bits: int, threshold: float = THRESHOLD, tile_rows:
 
     A pair of classes that meets in several tables is counted in the first of them.
     """
-    cut = list(range(0, BITS, bits))
-    sub = [F.shiftrightunsigned(F.shiftleft("code", max(0, 64 - s - bits)), max(s, 64 - bits) if s + bits <= 64 else s) for s in cut]
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(sub)))
+    places = bit_masks(bits, threshold)
+    signed = [m - (1 << 64) if m >> 63 else m for m in places]
+    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("k")) for t, m in enumerate(signed)))
     rows = codes.withColumn("x", F.explode(tables)).select("label", "dim", "rep", "n", "code", "unit", F.col("x.t").alias("t"), F.col("x.k").alias("k"))
     own = ["label", "dim", "t", "k"]
     keys = [*own, "tile_a", "tile_b"]
     rows = tiled(rows, own, "rep", tile_rows).repartition(*keys).sortWithinPartitions(*keys)
-    masks = [np.uint64(((1 << min(bits, 64 - s)) - 1) << s) for s in cut]
+    masks = [np.uint64(m) for m in places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in key_runs(batches, keys):
