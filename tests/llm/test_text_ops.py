@@ -362,3 +362,18 @@ def test_similar_documents_are_those_of_all_pairs(spark):
     table = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(table, tile_rows=16).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_one_row_of_each_group_is_kept_without_or_with_repeated_ids(spark):
+    groups = [(None, 11, 1), (None, 12, 1), (None, 13, 2), (7, 14, 3), (7, 15, 4), (7, 16, 4), (8, 17, 5), (7, 18, 5), (None, 19, 6), (9, 20, 6)]
+    texts = {k: f"text {k}" for _, k, _ in groups}
+    docs = spark.createDataFrame([(i, texts[k]) for i, k, _ in groups] + [(None, texts[13]), (7, texts[14])], DOCS)
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    least = {}
+    for i, k, c in groups:
+        least[c] = min((i for i, _, d in groups if d == c and i is not None), default=None)
+    table = spark.createDataFrame([(i, hashes[texts[k]], c, least[c]) for i, k, c in [*groups, (None, 13, 2), (7, 14, 3)]], "doc_id long, text_hash long, component long, component_id long")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(docs, table).collect()]
+    assert len(kept) == len(set(kept)) == 6
+    pick = lambda *ks: min((texts[k] for k in ks), key=hashes.get)
+    assert set(kept) == {(None, pick(11, 12)), (None, texts[13]), (7, texts[14]), (7, pick(15, 16)), (7, texts[18]), (9, texts[20])}

@@ -362,11 +362,11 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: tuple[int, int] =
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(doc_id, component_id) of documents connected by a Jaccard similarity of ``similarity`` or more of their sets of
+    """(doc_id, text_hash, component, component_id) of documents connected by a Jaccard similarity of ``similarity`` or more of their sets of
     shingles of ``width`` words, found by their prefixes (Chaudhuri et al. 2006; Bayardo et al. 2007) and compared exactly.
 
-    component_id is the smallest doc_id of those connected. Nulls, repeated rows and empty tables are treated as in
-    :func:`near_duplicates`.
+    component_id is the smallest doc_id of those connected, which component tells apart also where all ids are null. Nulls,
+    repeated rows and empty tables are treated as in :func:`near_duplicates`.
     """
     fp = written(shingle_sets(docs, width, similarity), "sets")
     members = fp.where("prefix is not null").select("node", "prefix").mapInArrow(_spread, "h long, node long")
@@ -385,14 +385,15 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, in
     nodes = fp.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     of = nodes.join(comp, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return fp.join(of.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    of = of.join(least, "component").select("node", "component", "component_id")
+    return fp.join(of, "node").select("doc_id", "text_hash", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those of its smallest doc_id; of several rows with this doc_id the one
-    whose text has the least hash. ``groups`` is (doc_id, component_id) for each row."""
-    firsts = groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_first")).agg(F.count(F.lit(1)).alias("_rows"))
-    firsts = written(firsts, "firsts")
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")))
-    again = kept.where("_rows > 1").withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_nth = 1")
-    return kept.where("_rows = 1").select(*docs.columns).unionByName(again.select(*docs.columns))
+    """One row of ``docs`` for each component: that of its smallest doc_id, a null id last, and of its texts the one with the
+    least hash. ``groups`` is (doc_id, text_hash, component) for each row."""
+    firsts = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    firsts = written(firsts.select(F.col("first.doc_id").alias("_first"), F.col("first.text_hash").alias("_hash")), "firsts")
+    kept = docs.withColumn("_text", F.xxhash64("text")).join(firsts, (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    nth = F.row_number().over(W.partitionBy("doc_id", "_text").orderBy("_text"))  # of rows that repeat id and text one stays
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
