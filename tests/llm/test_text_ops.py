@@ -377,3 +377,54 @@ def test_one_row_of_each_group_is_kept_without_or_with_repeated_ids(spark):
     assert len(kept) == len(set(kept)) == 6
     pick = lambda *ks: min((texts[k] for k in ks), key=hashes.get)
     assert set(kept) == {(None, pick(11, 12)), (None, texts[13]), (7, texts[14]), (7, pick(15, 16)), (7, texts[18]), (9, texts[20])}
+
+
+def test_similar_documents_of_the_table_are_those_of_all_pairs(spark):
+    """Every two documents of the table compared by their true sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(texts)
+    sets = [_shingles(texts[i]) for i in ids]
+    holds: dict = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holds.setdefault(x, []).append(k)
+    met = {(a, b) for own in holds.values() for n, b in enumerate(own) for a in own[:n]}
+    alike = {p for p in met if 5 * len(sets[p[0]] & sets[p[1]]) >= 4 * len(sets[p[0]] | sets[p[1]])}
+    assert sum(texts[ids[a]] != texts[ids[b]] for a, b in alike) > 10
+    want = _components(ids, lambda i, j: (j, i) in alike)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert [got[i] for i in ids] == want
+
+
+def test_shingles_do_not_depend_on_the_pieces_of_a_text():
+    text = ("One two  three\tfour five\nsix seven eight nine ten eleven " * 30).encode()
+    for width in (1, 3, 5):
+        whole = [x for part, _ in simhash.shingle_pieces(text, width) for x in part]
+        for size in (1, 7, 50):
+            assert [x for part, _ in simhash.shingle_pieces(text, width, size) for x in part] == whole
+    assert whole[0] == b"one two three four five" and len(whole) == 326
+
+
+def test_tiles_bring_together_what_is_near_in_population_count(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(k, rng.getrandbits(40) & rng.getrandbits(40)) for k in range(3) for _ in range(2 if k == 2 else 150)]
+    table = spark.createDataFrame(rows, "k long, v long").distinct()
+    got = simhash.tile_pairs(table, ["k"], F.bit_count("v"), F.col("v"), 2, 16).collect()
+    tiles: dict = {}
+    for r in got:
+        tiles.setdefault((r.k, r.tile_a, r.tile_b), []).append(r)
+    met: dict = {}
+    for (k, a, b), own in tiles.items():
+        for n, x in enumerate(own):
+            for y in own[:n]:
+                if a == b or x.tile_own != y.tile_own:
+                    met[k, min(x.v, y.v), max(x.v, y.v)] = met.get((k, min(x.v, y.v), max(x.v, y.v)), 0) + 1
+    every = sorted({(r.k, r.v) for r in got})
+    for n, (k, v) in enumerate(every):
+        for l, u in every[:n]:
+            if k == l and abs(v.bit_count() - u.bit_count()) <= 2:
+                assert met.pop((k, min(u, v), max(u, v))) == 1
+    assert all(k == 2 for k, _, _ in met) or len(met) < len(every) ** 2 / 4  # tiles further apart never meet
