@@ -138,6 +138,16 @@ def test_hybrid_after_mutation_is_exact_over_live_rows(rows, asks):
     live = rows.join(dead, "vec_id", "left_anti").unionByName(delta)
     got = HybridIndex.over(rows, delta, dead).search(asks, 7)
     assert hits(got) == hits(FlatIndex(live).search(asks, 7))
+    for base in (IvfIndex.build(rows, params=IvfParams(nlist=8, nprobe=8)), IvfPqIndex.build(rows, params=IvfPqParams(nlist=8, nprobe=8, refine=400, m=4, nbits=4))):
+        assert hits(HybridIndex(base, delta, dead).search(asks, 7)) == hits(FlatIndex(live).search(asks, 7))
+
+
+def test_hybrid_over_lists_gives_k_rows_though_the_best_are_dead(rows, asks):
+    few = asks.limit(10)
+    index = IvfPqIndex.build(rows, params=IvfPqParams(nlist=4, nprobe=4, refine=5, m=4, nbits=4)).filed()
+    dead = index.search(few, 20).select("vec_id").distinct()
+    got = HybridIndex(index, rows.select("vec_id", "embedding").limit(0), dead).search(few, 5)
+    assert got.count() == 50 and got.join(dead, "vec_id", "left_semi").count() == 0
 
 
 def test_transforms():
@@ -182,8 +192,17 @@ def test_best_is_a_sort(s, k):
 
 def test_percentiles_and_bounds(spark):
     t = spark.range(200).select(F.col("id").cast("double").alias("x"))
-    assert tuple(t.agg(evaluate.nearest_rank("x", 0.5), evaluate.floor_rank("x", 0.5)).first()) == (100.0, 100.0)
-    assert tuple(t.limit(0).agg(evaluate.nearest_rank("x", 0.5), evaluate.floor_rank("x", 0.9)).first()) == (None, None)
+    ranks = {"a": ("nearest", 0.5), "b": ("floor", 0.5), "c": ("nearest", 1.0), "d": ("floor", 1.0), "e": ("nearest", 0.0)}
+    assert tuple(evaluate.percentiles(t.withColumn("g", F.lit(1)), ["g"], "x", **ranks).first()) == (1, 100.0, 100.0, 199.0, 199.0, 0.0)
+    assert evaluate.percentiles(t.limit(0), [], "x", **ranks).first()["a"] is None
+    rng = np.random.default_rng(3)
+    xs = [(int(g), None if rng.random() < 0.1 else float(x)) for g, x in zip(rng.integers(0, 4, 500), rng.choice([-1e9, -3.5, -1e-7, 0.0, 2.0, 2.0000001, 7.0, 1e300, float("inf"), -float("inf")], 500))]
+    xs += [(None, 4.0), (None, 1.0), (9, None)]
+    got = {r.g: r for r in evaluate.percentiles(spark.createDataFrame(xs, "g int, x double"), ["g"], "x", p=("nearest", 0.4), q=("floor", 0.9)).collect()}
+    for g in (0, 1, 2, 3, None):
+        own = [x for h, x in xs if h == g and x is not None]
+        assert (got[g].p, got[g].q) == (evaluate.percentile(own, 0.4), evaluate.floor_percentile(own, 0.9))
+    assert set(got) == {0, 1, 2, 3, None}
     assert evaluate.wilson_lower_value(0, 0) == 0 and 0.9 < evaluate.wilson_lower_value(98, 100) < 0.98
     truth = spark.createDataFrame([(1, 1), (1, 2), (2, 5)], "qid long, vec_id long")
     found = spark.createDataFrame([(1, 2)], "qid long, vec_id long")
@@ -243,9 +262,16 @@ def test_generators_depend_on_seed_and_id_alone(spark, make):
 
 def test_freeze_under_stress(spark, rows, asks):
     run, ok = evaluate.freeze(rows.select("vec_id", "embedding"), asks, 5, IvfPqParams(nlist=8, nprobe=8, refine=200, m=4, nbits=4), stress=True)
-    assert ok and run.recall >= 0.9
+    assert ok and run.recall >= 0.9 and 0 < run.p50_ms <= run.p95_ms <= run.p99_ms and run.qps > 0
+    assert not evaluate.passes(run, 0.9, p95_ms=run.p95_ms / 2) and evaluate.passes(run, 0.9, p95_ms=run.p95_ms) and not evaluate.passes(run, recall=1.1)
+    untimed = evaluate.measure(FlatIndex(rows).search, FlatIndex(rows).search(asks, 3), asks, 3, singles=0)
+    assert evaluate.passes(untimed, 0.5)
+    with pytest.raises(ValueError, match="timed"):
+        evaluate.passes(untimed, 0.5, p95_ms=1e9)
     c = evaluate.curve(lambda n: lambda q, k: FlatIndex(rows).search(q, k), FlatIndex(rows).search(asks, 3), asks, 3, 2)
-    assert [r.config for r in c.collect()] == ["nprobe=1", "nprobe=2"]
+    assert [r.config for r in c.collect()] == ["nprobe=1", "nprobe=2"] and all(r.p95_ms > 0 for r in c.collect())
+    assert evaluate.enforced(c, 0.9) and evaluate.enforced(c, 0.9, every=True) and not evaluate.enforced(c, 1.0) and not evaluate.enforced(c.limit(0), 0.0)
+    evaluate.show(c)
 
 
 def test_stream_into_delta(spark, rows, tmp_path):
@@ -270,7 +296,34 @@ def test_time_geometry_load_and_csv(spark, tmp_path):
     day = {r.qid: r.day for r in evaluate.mean_day(FlatIndex(rows).search(q, 10), m).collect()}
     assert day[1] < day[2]
     got = evaluate.load(FlatIndex(rows.limit(0).unionByName(datagen.uniform(spark, 50, 8))).search, lambda turn: datagen.agent_queries(spark, 5, 8, turn), 3, 0.1)
-    assert got["batches"] >= 1 and got["qps"] > 0
-    run = evaluate.measure(FlatIndex(rows).search, FlatIndex(rows).search(q, 3), q, 3, "exact")
-    evaluate.write_runs_csv(evaluate.runs_table(q, [run]), f"file://{tmp_path}/runs")
-    assert spark.read.option("header", True).csv(f"file://{tmp_path}/runs").first()["recall"] == "1.0"
+    assert got["batches"] >= 4 and got["queries"] == 5 * got["batches"] and got["qps"] > 0
+    index = IvfIndex.build(rows, params=IvfParams(nlist=4, nprobe=4))
+    run = evaluate.measure(index.search, FlatIndex(rows).search(q, 3), q, 3, "nprobe=4", singles=1)
+    evaluate.sweep_file(evaluate.runs_table(q, [run]), index, rows.count(), f"file://{tmp_path}/runs")
+    back = spark.read.option("header", True).csv(f"file://{tmp_path}/runs")
+    assert len(back.columns) == len(evaluate.SETTINGS + evaluate.RESULTS) == 26
+    r = back.first()
+    assert (r.recall, r.probes, r.lists, r.rows, r.reranked) == ("1.0", "4", "4", str(rows.count()), None) and float(r.p95_ms) > 0
+
+
+def test_filed_lists_are_pruned(rows, asks):
+    index = IvfIndex.build(rows, params=IvfParams(nlist=16, nprobe=1)).filed()
+    one = asks.limit(1)
+    assert hits(index.search(one, 5)) == hits(IvfIndex.build(rows, params=IvfParams(nlist=16, nprobe=1)).search(one, 5))
+    plan = index.search(one, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list_id" in plan.replace("isnotnull(list_id#", "list_id") or "PartitionFilters: [isnotnull(list_id" in plan
+
+
+def test_covariance_of_all_places(spark, rows):
+    x = np.array([r.embedding for r in rows.select("embedding").collect()], dtype=np.float64)
+    got = {(r.i, r.j): r["cov"] for r in opq.covariance(rows.repartition(5)).collect()}
+    assert len(got) == 16 * 17 // 2 and np.allclose([got[i, j] for i, j in got], [np.cov(x.T, bias=True)[i, j] for i, j in got])
+    a, b = opq.train(x, 4), opq.train_on_all(rows, 4)
+    assert np.allclose(a.rotation, b.rotation, atol=1e-6) and (a.permutation == b.permutation).all()
+    assert opq.train_on_all(rows, 4, "none").is_identity and opq.covariance(rows.limit(0)).count() == 0
+
+
+def test_fnv_of_many_texts():
+    texts = [b"", b"a", b"foobar", b"x" * 1000, bytes(range(256))] * 3 + [b"q" * k for k in range(30)]
+    assert hashing.fnv1a_all(texts).tolist() == [hashing.fnv1a(t) for t in texts] and len(hashing.fnv1a_all([])) == 0
+    assert hashing.fnv1a(b"foobar") == 0x85944171F73967E8

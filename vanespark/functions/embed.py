@@ -6,11 +6,10 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vanespark.functions.hashing import fnv1a, splitmix, unit_floats
+from vanespark.functions.hashing import fnv1a_all, splitmix, unit_floats
 
 
 class Embedder(Protocol):
@@ -27,7 +26,7 @@ class RandomEmbedder:
         self.dim, self.seed, self.normalize = dim, seed, normalize
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        seeds = np.array([fnv1a(t.encode()) ^ self.seed for t in texts], dtype=np.uint64)
+        seeds = fnv1a_all([t.encode() for t in texts]) ^ np.uint64(self.seed)
         out = unit_floats(splitmix(seeds, self.dim)).reshape(len(texts), self.dim) - 0.5
         if self.normalize and len(out):
             n = np.linalg.norm(out, axis=1, keepdims=True)
@@ -45,7 +44,3 @@ def embed_table(texts: DataFrame, embedder: Embedder, id_col: str = "id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.FixedSizeListArray.from_arrays(flat, embedder.dim).cast(pa.list_(pa.float32()))], names=["vec_id", "embedding"])
 
     return texts.select(id_col, text_col).mapInArrow(run, "vec_id long, embedding array<float>")
-
-
-def as_frame(ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"vec_id": ids, "embedding": list(vectors.astype(np.float32))})

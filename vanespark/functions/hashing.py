@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -19,6 +22,18 @@ def splitmix(seed: int | np.ndarray, n: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def splitmix_table(rows: DataFrame, seed_col: str, n: int) -> DataFrame:
+    """(seed, i, z, u): the first n outputs for each seed, as a decimal string and as a number in [0, 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seed = b.column(0).to_numpy()
+            z = splitmix(seed.view(np.uint64), n).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(seed, n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(seed))), pa.array(z).cast(pa.string()), pa.array(unit_floats(z))], names=["seed", "i", "z", "u"])
+
+    return rows.select(F.col(seed_col).cast("long")).mapInArrow(run, "seed long, i int, z string, u double")
+
+
 def unit_floats(x: np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) from the top 53 bits."""
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -29,12 +44,36 @@ def bounded(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def fnv1a(data: bytes) -> int:
-    h = 0xCBF29CE484222325
+    return _fnv1a_from(0xCBF29CE484222325, data)
+
+
+def _fnv1a_from(h: int, data: bytes) -> int:
     for b in data:
         h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
     return h
 
 
+def fnv1a_all(texts: list[bytes]) -> np.ndarray:
+    """FNV-1a 64 of each text: byte columns of all texts at once, in order of length so that those which have ended drop out."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    order = np.argsort(-size, kind="stable")
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    start = (np.cumsum(size) - size)[order]
+    h = np.full(len(texts), 0xCBF29CE484222325, dtype=np.uint64)
+    longest = size[order]
+    with np.errstate(over="ignore"):
+        for i in range(int(size.max()) if len(size) else 0):
+            n = int(np.searchsorted(-longest, -i, side="left"))  # texts longer than i
+            if n < 8:  # a few long ones are left: byte by byte
+                for j in range(n):
+                    h[j] = _fnv1a_from(int(h[j]), texts[order[j]][i:])
+                break
+            h[:n] = (h[:n] ^ raw[start[:n] + i]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def fnv1a_column(text: Column) -> Column:
     """FNV-1a 64 of the UTF-8 bytes as decimal(20,0), in SQL: exact and slow, for checks."""
     raw = F.encode(text, "UTF-8")

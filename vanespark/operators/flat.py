@@ -39,10 +39,15 @@ class FlatIndex:
     def add(self, more: DataFrame) -> FlatIndex:
         return FlatIndex(self.rows.unionByName(more, allowMissingColumns=True), self.metric, self._dim)
 
-    def search(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-        """(qid, vec_id, score, rk) of the k best rows for each of queries (qid, embedding)."""
+    def without(self, ids: DataFrame) -> FlatIndex:
+        """The index less the rows of ``ids`` (vec_id)."""
+        return FlatIndex(self.rows.join(ids.select("vec_id").distinct(), "vec_id", "left_anti"), self.metric, self._dim)
+
+    def search(self, queries: DataFrame, k: int, where: Column | None = None, now: int = 0, rate: float = 0.0) -> DataFrame:
+        """(qid, vec_id, score, rk) of the k best rows for each of queries (qid, embedding). With ``rate`` > 0 scores weaken with
+        the age of a row's ts at ``now``."""
         rows = self.rows if where is None else self.rows.where(where)
-        rows = rows.select("vec_id", "embedding")
+        rows = rows.select("vec_id", "embedding", *(["ts"] if rate > 0 else []))
         metric = self.metric
         parts = []
         for qids, q in kernel.query_blocks(queries):
@@ -52,7 +57,10 @@ class FlatIndex:
                 for b in batches:
                     if b.num_rows:
                         x = kernel.matrix(b.column(1), q.shape[1])
-                        held.append(kernel.hits(qids, b.column(0).to_numpy(), kernel.scores(metric, q, x), k))
+                        s = kernel.scores(metric, q, x)
+                        if rate > 0:
+                            s = kernel.decayed(s, b.column(2).to_numpy(zero_copy_only=False), now, rate)
+                        held.append(kernel.hits(qids, b.column(0).to_numpy(), s, k))
                         if len(held) == 16:
                             held = [_again(held, k)]
                 if held:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,30 +9,31 @@ from pyspark.sql import functions as F
 
 from vanespark.functions.vectors import Metric
 from vanespark.operators.flat import FlatIndex
+from vanespark.operators.protocol import AnnIndex
 from vanespark.operators.topk import top_k
 
 
 @dataclass(frozen=True)
 class HybridIndex:
-    """base: a search (queries, k) -> hits over rows that may be tombstoned; delta: later rows, searched exactly."""
+    """base: an index over rows that may be tombstoned; delta: later rows, searched exactly."""
 
-    base: Callable[[DataFrame, int], DataFrame]
+    base: AnnIndex
     delta: DataFrame
     tombstones: DataFrame
     metric: Metric = Metric.COSINE
 
     @classmethod
     def over(cls, rows: DataFrame, delta: DataFrame, tombstones: DataFrame, metric: Metric = Metric.COSINE) -> HybridIndex:
-        """With an exact base: dead rows leave before the ranking, so k rows come back whenever so many live."""
-        live = rows.join(tombstones.select("vec_id").distinct(), "vec_id", "left_anti")
-        return cls(lambda q, k: FlatIndex(live, metric).search(q, k), delta, tombstones, metric)
+        """With an exact base."""
+        return cls(FlatIndex(rows, metric), delta, tombstones, metric)
 
-    def search(self, queries: DataFrame, k: int, slack: int = 0) -> DataFrame:
-        """(qid, vec_id, score, rk) of the k best live rows; ``slack`` asks the base for as many more, which make up for dead ones."""
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, vec_id, score, rk) of the k best live rows. Dead rows leave the base's lists before anything is ranked, so k rows
+        come back whenever so many live where the base looks."""
         dead = self.tombstones.select("vec_id").distinct()
-        fresh = FlatIndex(self.delta.join(dead, "vec_id", "left_anti"), self.metric)
-        hits = self.base(queries, k + slack).select("qid", "vec_id", "score").join(dead, "vec_id", "left_anti")
-        return top_k(hits.unionByName(fresh.search(queries, k).select("qid", "vec_id", "score")), k)
+        old = self.base.without(dead).search(queries, k)
+        fresh = FlatIndex(self.delta, self.metric).without(dead).search(queries, k)
+        return top_k(old.select("qid", "vec_id", "score").unionByName(fresh.select("qid", "vec_id", "score")), k)
 
 
 def mutate(rows: DataFrame, every: int = 10, add: int = 100, first_id: int = 999_000, seed: int = 1337) -> tuple[DataFrame, DataFrame]:

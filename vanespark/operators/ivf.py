@@ -17,6 +17,7 @@ from vanespark.operators import kernel
 from vanespark.operators.flat import _again
 from vanespark.operators.topk import top_k
 from vanespark.plans import kmeans
+from vanespark.tables import new_path
 
 
 @dataclass(frozen=True)
@@ -55,20 +56,29 @@ class IvfIndex:
     @classmethod
     def build(cls, rows: DataFrame, metric: Metric = Metric.COSINE, params: IvfParams = IvfParams()) -> IvfIndex:
         """From (vec_id, embedding[, tags]). Centroids come from a bounded sample; nlist is held to its size."""
-        rows = unit_rows(rows, metric)
         _, x = kmeans.sample_rows(rows, params.sample, params.seed)
         if not len(x):
             raise ValueError("an index needs a row at least")
         params = replace(params, nlist=max(1, min(params.nlist, len(x))))
         c = kmeans.fit(x, params.nlist, metric, params.seed, params.max_iters)
-        return cls(metric, params, c, cls._filed(rows, c))
+        return cls(metric, params, c, cls._filed(rows, c, metric.is_cosine))
 
     @staticmethod
-    def _filed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
+    def _filed(rows: DataFrame, centroids: np.ndarray, unit: bool = False) -> DataFrame:
+        """Rows with the list of their nearest centroid, which under ``unit`` is that of the row brought to length one."""
         for name, value in (("tags", F.lit(None).cast("long")), ("version", F.lit(0).cast("long")), ("deleted", F.lit(False))):
             if name not in rows.columns:
                 rows = rows.withColumn(name, value)
-        return kmeans.assign(rows.select("vec_id", "embedding", "tags", "version", "deleted"), centroids)
+        return kmeans.assign(rows.select("vec_id", "embedding", "tags", "version", "deleted"), centroids, unit)
+
+    def filed(self, path: str | None = None) -> IvfIndex:
+        """With its lists written as Parquet by list, under ``path`` or in the shared folder: a search then assigns nothing again
+        and reads only the lists it probes."""
+        return replace(self, lists=filed_lists(self.lists, path))
+
+    def without(self, ids: DataFrame) -> IvfIndex:
+        """The index less the rows of ``ids`` (vec_id)."""
+        return self.delete(ids)
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, tag_mask: int | None = None, tag_mode: str = "all") -> DataFrame:
         """(qid, vec_id, score, rk) of the k best live rows in the probed lists."""
@@ -101,7 +111,7 @@ class IvfIndex:
         """
         rows = rows if "tags" in rows.columns else rows.withColumn("tags", F.lit(None).cast("long"))
         top = self.lists.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        new = self._filed(unit_rows(rows, self.metric).withColumn("version", F.lit(top + 1).cast("long")).withColumn("deleted", F.lit(False)), self.centroids)
+        new = self._filed(rows.withColumn("version", F.lit(top + 1).cast("long")).withColumn("deleted", F.lit(False)), self.centroids, self.metric.is_cosine)
         return replace(self, lists=latest(self.lists.unionByName(new)))
 
     def compact(self) -> IvfIndex:
@@ -109,6 +119,14 @@ class IvfIndex:
         return replace(self, lists=self.lists.where(~F.col("deleted")).repartition("list_id").sortWithinPartitions("list_id", "vec_id"))
 
 
+def filed_lists(lists: DataFrame, path: str | None = None) -> DataFrame:
+    """``lists`` as a table partitioned by list, in order of id inside each."""
+    spark = lists.sparkSession
+    path = path or new_path(spark, "lists")
+    lists.repartition("list_id").sortWithinPartitions("list_id", "vec_id").write.partitionBy("list_id").parquet(path)
+    return spark.read.schema(lists.schema).parquet(path).select(lists.columns)
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """The last version of each vec_id, with the newest tags that aren't null."""
     w = W.partitionBy("vec_id").orderBy(F.col("version").desc())

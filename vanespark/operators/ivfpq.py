@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vanespark.functions.vectors import Metric, decayed, tags_match
 from vanespark.operators import kernel, opq
 from vanespark.operators.flat import _again
-from vanespark.operators.ivf import probe_lists, unit_rows
+from vanespark.operators.ivf import filed_lists, probe_lists, unit_rows
 from vanespark.operators.pq import ProductQuantizer
 from vanespark.operators.topk import top_k
 from vanespark.plans import kmeans
@@ -47,8 +47,8 @@ class IvfPqIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, metric: Metric = Metric.COSINE, params: IvfPqParams = IvfPqParams()) -> IvfPqIndex:
-        """From (vec_id, embedding[, tags][, ts]). Everything learned comes from one bounded sample; all rows are encoded."""
-        rows = unit_rows(rows, metric)
+        """From (vec_id, embedding[, tags][, ts]). The transform comes from the covariance of all rows, centroids and codebooks
+        from one bounded sample; all rows are encoded."""
         for name in ("tags", "ts"):
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None).cast("long"))
@@ -56,8 +56,9 @@ class IvfPqIndex:
         if not len(x):
             raise ValueError("an index needs a row at least")
         params = replace(params, nlist=max(1, min(params.nlist, len(x))))
-        transform = opq.train(x, params.m, params.opq_mode)
-        x = transform.apply(x)
+        transform = opq.train_on_all(unit_rows(rows, metric), params.m, params.opq_mode)
+        unit = kernel.unit if metric.is_cosine else lambda v: v
+        x = transform.apply(unit(x))
         c = kmeans.fit(x, params.nlist, metric, params.seed)
         own = kmeans.distances(x, c).argmin(axis=1)
         quantizer = ProductQuantizer.train(x - c[own], params.m, params.nbits, params.iters, params.seed)
@@ -66,7 +67,7 @@ class IvfPqIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                y = transform.apply(kernel.matrix(b.column(1), dim))
+                y = transform.apply(unit(kernel.matrix(b.column(1), dim)))
                 at = np.round(kmeans.distances(y, c), 12).argmin(axis=1) if len(y) else np.empty(0, dtype=int)
                 codes = quantizer.encode(y - c[at])
                 vec = b.column(1) if keep else pa.nulls(b.num_rows, b.column(1).type)
@@ -75,6 +76,15 @@ class IvfPqIndex:
         lists = rows.select("vec_id", "embedding", "tags", "ts").mapInArrow(run, "list_id int, vec_id long, codes binary, embedding array<float>, tags long, ts long")
         return cls(metric, params, transform, c, quantizer, lists)
 
+    def filed(self, path: str | None = None) -> IvfPqIndex:
+        """With its lists written as Parquet by list, under ``path`` or in the shared folder: a search then reads the rows as
+        they were encoded, and only the lists it probes."""
+        return replace(self, lists=filed_lists(self.lists, path))
+
+    def without(self, ids: DataFrame) -> IvfPqIndex:
+        """The index less the rows of ``ids`` (vec_id)."""
+        return replace(self, lists=self.lists.join(ids.select("vec_id").distinct(), "vec_id", "left_anti").select(self.lists.columns))
+
     def candidates(self, queries: DataFrame, n: int, nprobe: int | None = None, tag_mask: int | None = None, tag_mode: str = "any", now: int = 0, rate: float = 0.0) -> DataFrame:
         """(qid, vec_id, score, rk): the n best rows by table lookup. The inner product with a row is that with its list's
         centroid and that with its residual, so scores of different lists compare."""
@@ -101,7 +111,7 @@ class IvfPqIndex:
             for b in batches:
                 of, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
                 codes = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(-1, pq.m)
-                ts = b.column(3).to_numpy(zero_copy_only=False).astype(np.float64) if rate > 0 else None
+                ts = b.column(3).to_numpy(zero_copy_only=False) if rate > 0 else None
                 for c in np.unique(of):
                     who, at = asks[int(c)], np.flatnonzero(of == c)
                     if cosine:
@@ -109,8 +119,7 @@ class IvfPqIndex:
                     else:
                         s = -pq.lookup(pq.table_l2(q[who] - centroids[c]), codes[at])
                     if rate > 0:
-                        f = np.maximum(np.exp(-rate * np.maximum(now - ts[at], 0)), 1e-9)
-                        s = np.where(s > 0, s * f, s / f)
+                        s = kernel.decayed(s, ts[at], now, rate)
                     held.append(kernel.hits(qids[who], ids[at], s, n))
                 if len(held) > 64:
                     held = [_again(held, n)]

@@ -37,6 +37,12 @@ def scores(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return -np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T), 0)
 
 
+def decayed(s: np.ndarray, ts: np.ndarray, now: int, rate: float) -> np.ndarray:
+    """Scores (queries, rows) weakened with the age of each row, as :func:`vanespark.functions.vectors.decayed` does."""
+    f = np.maximum(np.exp(-rate * np.maximum(now - ts.astype(np.float64), 0)), 1e-9)
+    return np.where(s > 0, s * f, s / f)
+
+
 def best(s: np.ndarray, ids: np.ndarray, k: int, decimals: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """(query index, column) of the k best columns of each row, ties by id; NaN never wins."""
     s = np.round(np.where(np.isnan(s), -np.inf, s), decimals)

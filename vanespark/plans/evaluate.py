@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, replace
-from itertools import product
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
+from itertools import count, product
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Search = Callable[[DataFrame, int], DataFrame]
@@ -42,16 +44,30 @@ def wilson_lower_value(successes: float, n: float, z: float = 1.96) -> float:
     return max(0.0, (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))
 
 
-def nearest_rank(values: str, p: float) -> Column:
-    """Aggregate: the value at place round(p * (n - 1)), half up, of n sorted ones; null if there are none."""
-    xs = F.array_sort(F.collect_list(values))
-    return F.get(xs, F.floor(F.lit(p) * (F.size(xs) - 1) + 0.5).cast("int"))
-
-
-def floor_rank(values: str, p: float) -> Column:
-    """Aggregate: the value at place floor(p * n), the last at most."""
-    xs = F.array_sort(F.collect_list(values))
-    return F.get(xs, F.least(F.floor(F.lit(p) * F.size(xs)), F.size(xs) - 1).cast("int"))
+def percentiles(rows: DataFrame, by: list[str], value: str, **ranks: tuple[str, float]) -> DataFrame:
+    """(by..., a column for each of ``ranks``) over the non-null values of each group. A rank is ("nearest", p), the value at
+    place round(p * (n - 1)), half up, of n sorted ones, or ("floor", p), that at place floor(p * n), the last at most.
+
+    A group is first counted in classes of a coarse scale that keeps the order, at most some hundred thousands whatever its size;
+    only the classes that hold a wanted place are ordered value by value. NaN counts as the largest value.
+    """
+    x = F.col("_x")
+    rows = rows.select(*by, F.col(value).cast("double").alias("_x")).where("_x is not null")
+    coarse = F.when(F.isnan("_x") | (x == float("inf")), 1 << 40).when(x == -float("inf"), -(1 << 40)).otherwise(F.floor(F.signum("_x") * F.log1p(F.abs("_x")) * 500)).cast("long")
+    rows = rows.withColumn("_class", coarse)
+    classes = rows.groupBy(*by, "_class").agg(F.count(F.lit(1)).alias("_m"))
+    n = F.sum("_m").over(W.partitionBy(*by))
+    upto = F.sum("_m").over(W.partitionBy(*by).orderBy("_class"))
+    places = [F.struct(F.lit(k).alias("k"), (F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5) if kind == "nearest" else F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)).cast("long").alias("at")) for k, (kind, q) in ranks.items()]
+    wanted = classes.withColumn("_n", n).withColumn("_before", upto - F.col("_m")).withColumn("_w", F.explode(F.array(*places)))
+    wanted = wanted.where("_w.at >= _before and _w.at < _before + _m").select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_class").alias("_c"), F.col("_w.k").alias("_k"), (F.col("_w.at") - F.col("_before")).alias("_at"))
+    same = F.col("_class") == F.col("_c")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    close = rows.join(wanted.select("_c", *(f"_by{i}" for i in range(len(by)))).distinct(), same, "left_semi")
+    placed = close.withColumn("_nth", F.row_number().over(W.partitionBy(*by, "_class").orderBy("_x")) - 1)
+    found = placed.join(wanted, same & (F.col("_nth") == F.col("_at")))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(k) for k in ranks))
 
 
 def percentile(xs: list[float], p: float) -> float:
@@ -59,22 +75,37 @@ def percentile(xs: list[float], p: float) -> float:
     return xs[int(math.floor(p * (len(xs) - 1) + 0.5))] if xs else 0.0
 
 
+def floor_percentile(xs: list[float], p: float) -> float:
+    xs = sorted(xs)
+    return xs[min(int(math.floor(p * len(xs))), len(xs) - 1)] if xs else 0.0
+
+
 @dataclass(frozen=True)
 class Run:
+    """One configuration's results. Latencies are of lone queries, null if none was timed; qps is lone queries by the sum of their
+    latencies, batch_qps all queries by the seconds of the one batch."""
+
     config: str
     k: int
     queries: int
     recall: float
     lb95: float
     batch_s: float
-    qps: float
-    p50_ms: float
-    p95_ms: float
-    p99_ms: float
+    batch_qps: float
+    singles: int
+    qps: float | None
+    p50_ms: float | None
+    p90_ms: float | None
+    p95_ms: float | None
+    p99_ms: float | None
     deterministic: bool
 
 
-def measure(search: Search, truth: DataFrame, queries: DataFrame, k: int, config: str = "", singles: int = 0) -> Run:
+#: Lone queries that are timed, after one that isn't.
+SINGLES = 20
+
+
+def measure(search: Search, truth: DataFrame, queries: DataFrame, k: int, config: str = "", singles: int = SINGLES) -> Run:
     """Recall and its lower bound, seconds for the whole batch, its repeatability, and latencies of ``singles`` lone queries."""
     search(queries.limit(1), k).collect()
     began = time.perf_counter()
@@ -93,55 +124,69 @@ def measure(search: Search, truth: DataFrame, queries: DataFrame, k: int, config
         search(one, k).collect()
         lone.append((time.perf_counter() - t) * 1000)
     share = (hits[0] or 0) / n if n else 0.0
-    return Run(config, k, hits[1] or 0, share, wilson_lower_value(hits[0] or 0, n), took, (hits[1] or 0) / took, percentile(lone, 0.5), percentile(lone, 0.95), percentile(lone, 0.99), key(first) == key(again))
+    at = [percentile(lone, p) if lone else None for p in (0.5, 0.9, 0.95, 0.99)]
+    return Run(config, k, hits[1] or 0, share, wilson_lower_value(hits[0] or 0, n), took, (hits[1] or 0) / took, len(lone), len(lone) / sum(lone) * 1000 if lone else None, *at, key(first) == key(again))
 
 
-def curve(search_at: Callable[[int], Search], truth: DataFrame, queries: DataFrame, k: int, most: int) -> DataFrame:
+def curve(search_at: Callable[[int], Search], truth: DataFrame, queries: DataFrame, k: int, most: int, singles: int = SINGLES) -> DataFrame:
     """Runs for nprobe 1, 2, 4, ... up to ``most``."""
     steps = [1 << i for i in range(most.bit_length()) if 1 << i <= most]
-    return runs_table(queries, [measure(search_at(n), truth, queries, k, f"nprobe={n}") for n in steps])
+    return runs_table(queries, [measure(search_at(n), truth, queries, k, f"nprobe={n}", singles) for n in steps])
 
 
-def sweep(search_at: Callable[..., Search], truth: DataFrame, queries: DataFrame, k: int, **grid: list) -> DataFrame:
+def sweep(search_at: Callable[..., Search], truth: DataFrame, queries: DataFrame, k: int, singles: int = SINGLES, **grid: list) -> DataFrame:
     """Runs for every combination of the grid's values."""
     names = list(grid)
     out = []
     for values in product(*grid.values()):
         config = dict(zip(names, values))
-        out.append(measure(search_at(**config), truth, queries, k, ", ".join(f"{n}={v}" for n, v in config.items())))
+        out.append(measure(search_at(**config), truth, queries, k, ", ".join(f"{n}={v}" for n, v in config.items()), singles))
     return runs_table(queries, out)
 
 
+def enforced(runs: DataFrame, target: float, every: bool = False) -> bool:
+    """Whether the best run's lower bound, or with ``every`` that of each run, reaches ``target``; false without runs."""
+    got = [r["lb95"] for r in runs.select("lb95").collect()]
+    return bool(got) and (min(got) if every else max(got)) >= target
+
+
+_RUN_DDL = "config string, k int, queries long, recall double, lb95 double, batch_s double, batch_qps double, singles long, qps double, p50_ms double, p90_ms double, p95_ms double, p99_ms double, deterministic boolean"
+
+
 def runs_table(queries: DataFrame, runs: list[Run]) -> DataFrame:
-    return queries.sparkSession.createDataFrame([tuple(asdict(r).values()) for r in runs], "config string, k int, queries long, recall double, lb95 double, batch_s double, qps double, p50_ms double, p95_ms double, p99_ms double, deterministic boolean")
+    return queries.sparkSession.createDataFrame([tuple(asdict(r).values()) for r in runs], _RUN_DDL)
+
 
+def show(runs: DataFrame) -> None:
+    """Print a table of runs."""
+    runs.select("config", *(F.round(c, 3).alias(c) for c in ("recall", "lb95", "p50_ms", "p95_ms", "qps")), "deterministic").show(1000, truncate=False)
 
-def passes(run: Run, lb95: float = 0.9, p95_ms: float | None = None) -> bool:
-    """The gates of a freeze."""
-    return run.lb95 >= lb95 and (p95_ms is None or run.p95_ms <= p95_ms)
 
+def passes(run: Run, lb95: float = 0.9, p95_ms: float | None = None, recall: float | None = None) -> bool:
+    """The gates of a freeze. A latency gate without a timed query is an error."""
+    if p95_ms is not None and run.p95_ms is None:
+        raise ValueError("no lone query was timed: measure with singles > 0")
+    return run.lb95 >= lb95 and (recall is None or run.recall >= recall) and (p95_ms is None or run.p95_ms <= p95_ms)
 
-def freeze(rows: DataFrame, queries: DataFrame, k: int, params=None, metric=None, lb95: float = 0.9, p95_ms: float | None = None, stress: bool = False) -> tuple[Run, bool]:
-    """Build, search against the truth over live rows, and hold the gates; with ``stress`` after deletions and additions."""
+
+def freeze(rows: DataFrame, queries: DataFrame, k: int, params=None, metric=None, lb95: float = 0.9, p95_ms: float | None = None, stress: bool = False, recall: float | None = None, singles: int = SINGLES) -> tuple[Run, bool]:
+    """Build, file the lists, search against the truth over live rows, and hold the gates; with ``stress`` after deletions and
+    additions."""
     from vanespark.functions.vectors import Metric
     from vanespark.operators.flat import FlatIndex
     from vanespark.operators.hybrid import HybridIndex, mutate
     from vanespark.operators.ivfpq import IvfPqIndex, IvfPqParams
 
     metric, params = metric or Metric.COSINE, params or IvfPqParams()
-    index = IvfPqIndex.build(rows, metric, params)
-    index = replace(index, lists=index.lists.cache())
-    search: Search = lambda q, n: index.search(q, n)
+    index = IvfPqIndex.build(rows, metric, params).filed()
     live = rows
     if stress:
         delta, dead = mutate(rows)
-        hybrid = HybridIndex(search, delta, dead, metric)
-        search = lambda q, n: hybrid.search(q, n, slack=n)
+        index = HybridIndex(index, delta, dead, metric)
         live = rows.select("vec_id", "embedding").join(dead, "vec_id", "left_anti").unionByName(delta)
     truth = FlatIndex(live, metric).search(queries, k)
-    run = measure(search, truth, queries, k, str(params))
-    index.lists.unpersist()
-    return run, passes(run, lb95, p95_ms)
+    run = measure(index.search, truth, queries, k, str(params), singles)
+    return run, passes(run, lb95, p95_ms, recall)
 
 
 def context_errors(hits: DataFrame, truth: DataFrame, memories: DataFrame, queries: DataFrame) -> DataFrame:
@@ -158,16 +203,38 @@ def mean_day(hits: DataFrame, memories: DataFrame) -> DataFrame:
     return hits.join(memories.select("vec_id", "day_idx"), "vec_id").groupBy("qid").agg(F.avg("day_idx").alias("day"))
 
 
-def load(search: Search, agents: Callable[[int], DataFrame], k: int, seconds: float) -> dict[str, float]:
-    """Batches of ``agents(round)`` one after another for a time: queries per second, and percentiles of a batch in ms."""
-    began, took, asked = time.perf_counter(), [], 0
-    while not took or time.perf_counter() - began < seconds:
-        queries = agents(len(took))
-        t = time.perf_counter()
-        asked += len({r["qid"] for r in search(queries, k).collect()})
-        took.append((time.perf_counter() - t) * 1000)
-    return {"batches": len(took), "qps": asked / sum(took) * 1000, "p50_ms": percentile(took, 0.5), "p99_ms": percentile(took, 0.99)}
-
+def load(search: Search, agents: Callable[[int], DataFrame], k: int, seconds: float, threads: int = 4) -> dict[str, float]:
+    """``threads`` agents ask batches of ``agents(turn)`` at once for a time, each turn once: queries per second of wall time, and
+    percentiles of a batch's latency in ms."""
+    turns, took, asked = count(), [], []
+    began = time.perf_counter()
 
-def write_runs_csv(runs: DataFrame, path: str) -> None:
-    runs.coalesce(1).write.option("header", True).csv(path)
+    def agent(_: int) -> None:
+        while True:
+            queries = agents(next(turns))
+            t = time.perf_counter()
+            asked.append(len({r["qid"] for r in search(queries, k).collect()}))
+            took.append((time.perf_counter() - t) * 1000)
+            if time.perf_counter() - began >= seconds:
+                return
+
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(agent, range(threads)))
+    return {"batches": len(took), "queries": sum(asked), "qps": sum(asked) / (time.perf_counter() - began), "p50_ms": floor_percentile(took, 0.5), "p99_ms": floor_percentile(took, 0.99)}
+
+
+#: What a row of the sweep file says: of the data and the index, then of the run.
+SETTINGS = ("index_kind", "metric_name", "rows", "dims", "lists", "probes", "reranked", "parts", "bits", "training_rounds", "transform_used", "transform_mode", "sample_rows", "vectors_kept", "tasks")
+RESULTS = ("k", "queries", "recall", "lb95", "p50_ms", "p90_ms", "p95_ms", "p99_ms", "qps", "batch_s", "deterministic")
+
+
+def sweep_file(runs: DataFrame, index, rows: int, path: str) -> None:
+    """Write ``runs`` as one CSV file with a header: 26 columns, settings of ``index`` first. probes and reranked come from a run's
+    config where it names nprobe and refine."""
+    p = index.params
+    named = lambda name, other: F.coalesce(F.nullif(F.regexp_extract("config", rf"\b{name}=(\d+)", 1), F.lit("")).cast("int"), F.lit(other))
+    mode = getattr(p, "opq_mode", "none")
+    values = [type(index).__name__, index.metric.value, rows, index.centroids.shape[1], p.nlist, None, None, getattr(p, "m", None), getattr(p, "nbits", None), getattr(p, "iters", getattr(p, "max_iters", None)), mode != "none", mode, p.sample, getattr(p, "store_vectors", True), runs.sparkSession.sparkContext.defaultParallelism]
+    own = dict(zip(SETTINGS, map(F.lit, values))) | {"probes": named("nprobe", p.nprobe), "reranked": named("refine", getattr(p, "refine", None))}
+    table = runs.select(*(own[c].alias(c) for c in SETTINGS), *RESULTS)
+    table.coalesce(1).write.option("header", True).csv(path)  # a row a configuration

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vanespark.functions.vectors import Metric
 from vanespark.operators import kernel
+from vanespark.tables import written
 
 #: Rows a trainer looks at, at most; assignment is over all rows.
 SAMPLE = 50_000
@@ -27,15 +29,8 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (x @ c.T), 0)
 
 
-def fit(x: np.ndarray, k: int, metric: Metric = Metric.L2, seed: int = 0, max_iters: int = 50) -> np.ndarray:
-    """Centroids (k, dim). k must be in 1..rows. Under cosine rows and centroids have length one.
-
-    An empty cluster takes the row that is farthest from its centroid. Ties go to the lowest index.
-    """
-    if not 0 < k <= len(x):
-        raise ValueError(f"k must be between 1 and {len(x)}")
-    if metric.is_cosine:
-        x = kernel.unit(x)
+def seeds(x: np.ndarray, k: int, seed: int = 0) -> list[int]:
+    """k places of ``x``: the first at random, each other with a chance that follows its squared distance from those before."""
     rng = np.random.Generator(np.random.Philox(seed))
     at = [int(rng.integers(len(x)))]
     near = distances(x, x[at])[:, 0]
@@ -44,7 +39,35 @@ def fit(x: np.ndarray, k: int, metric: Metric = Metric.L2, seed: int = 0, max_it
         new = int(np.searchsorted(np.cumsum(near), rng.random() * total, side="right")) if total > 0 else int(rng.integers(len(x)))
         at.append(min(new, len(x) - 1))
         near = np.minimum(near, distances(x, x[at[-1:]])[:, 0])
-    c = x[at].copy()
+    return at
+
+
+def strided(rows: DataFrame, n: int) -> DataFrame:
+    """Every s-th row in order of vec_id, s being the least stride that leaves at most ``n`` rows.
+
+    Places come from range partitions and their sizes: the rows are never in one task.
+    """
+    total = rows.count()
+    if not total:
+        return rows
+    dealt = written(rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").withColumn("_at", F.monotonically_increasing_id()), "strided")
+    dealt = dealt.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.select("_part", (F.sum("c").over(W.orderBy("_part")) - F.col("c")).alias("_before"))  # a row a partition
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(before, "_part").where(place % -(-total // n) == 0).select(rows.columns)
+
+
+def fit(x: np.ndarray, k: int, metric: Metric = Metric.L2, seed: int = 0, max_iters: int = 50, start: np.ndarray | None = None) -> np.ndarray:
+    """Centroids (k, dim), from ``start`` or from k rows that :func:`seeds` picks. k must be in 1..rows. Under cosine rows and centroids have length one.
+
+    An empty cluster takes the row that is farthest from its centroid. Ties go to the lowest index.
+    """
+    if not 0 < k <= len(x):
+        raise ValueError(f"k must be between 1 and {len(x)}")
+    if metric.is_cosine:
+        x = kernel.unit(x)
+    c = x[seeds(x, k, seed)].copy() if start is None else np.array(start, dtype=np.float64)
     last = None
     for _ in range(max_iters):
         d = distances(x, c)
@@ -64,8 +87,8 @@ def fit(x: np.ndarray, k: int, metric: Metric = Metric.L2, seed: int = 0, max_it
     return c
 
 
-def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """``rows`` with list_id, the nearest centroid of embedding, ties to the lowest. Centroids are a fixed number of vectors."""
+def assign(rows: DataFrame, centroids: np.ndarray, unit: bool = False) -> DataFrame:
+    """``rows`` with list_id, the nearest centroid of embedding (of length one under ``unit``), ties to the lowest. Centroids are a fixed number of vectors."""
     from pyspark.sql.types import IntegerType, StructField, StructType
 
     at = rows.columns.index("embedding")
@@ -73,6 +96,8 @@ def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = kernel.matrix(b.column(at), centroids.shape[1])
+            if unit:
+                x = kernel.unit(x)
             own = np.round(distances(x, centroids), 12).argmin(axis=1).astype(np.int32) if len(x) else np.empty(0, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, "list_id"])
 
