@@ -1,60 +1,24 @@
-"""Shared plumbing: tables in the shared folder, code point helpers, run iteration."""
+"""Shared plumbing: pieces of texts, rows that keep any column, tiles and runs of keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_base: dict[str, str] = {}
-_own_dirs: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if app not in _own_base:
-            _own_base[app] = "file://" + tempfile.mkdtemp(prefix="vanespark-")
-        base = _own_base[app]
-    root = f"{base.rstrip('/')}/vanespark-{app}"
-    if not any(d == root for _, d in _own_dirs):
-        _own_dirs.append((spark, root))
-    return root
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table written by :func:`table_of`."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
+from vanespark.tables import drop_table, table_of, written  # noqa: F401
 
-@atexit.register
-def _drop_all() -> None:
-    for spark, root in _own_dirs:
-        try:
-            drop_table(spark, root)
-        except Exception:  # noqa: BLE001  the session may be gone already; the folder's owner cleans it then
-            pass
+#: Tables are broadcast up to so many bytes, joined by a shuffle beyond.
+BROADCAST_BYTES = 32 << 20
 
 
-def table_of(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and lost executors cost no recomputation of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    return table_of(df, name)[0]
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table of rows of ``row_bytes`` at most, marked for broadcast if it is within BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -63,6 +27,18 @@ def settled(df: DataFrame) -> DataFrame:
     return written(df, "settled") if any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "Join", "ExistingRDD")) or "FileScan" not in plan else df
 
 
+def packed(df: DataFrame, *names: str | F.Column) -> DataFrame:
+    """``df`` as one struct column _doc beside those of its columns ``names`` that the caller works on: so no other column can
+    clash with what the caller adds. ``select("_doc.*")`` gives the rows back."""
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+    return df.select(whole.alias("_doc"), *names)
+
+
+def own(columns: list[str], **changed: str) -> list[F.Column]:
+    """``columns`` out of _doc, or where ``changed`` names another column in their place, out of that."""
+    return [(F.col(changed[c]) if c in changed else F.col("_doc").getField(c)).alias(c) for c in columns]
+
+
 def cols(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
@@ -77,6 +53,21 @@ def strs(col: pa.Array) -> list[str]:
     return ["" if x is None else x for x in col.to_pylist()]
 
 
+#: Bytes of a text whose words are held at once.
+PIECE_BYTES = 1 << 20
+GAP = re.compile(rb"[\x09-\x0d ]")
+
+
+def word_pieces(text: bytes, size: int = PIECE_BYTES, change: Callable[[bytes], bytes] = bytes) -> Iterator[list[bytes]]:
+    """The words of ``text`` as ASCII white space parts them, of about ``size`` bytes at a time, after ``change``."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield change(text[at:end]).split()
+        at = end
+
+
 def tidy() -> None:
     """Give memory that this worker no longer uses back to the system, for the tasks after it and beside it."""
     import ctypes

@@ -18,10 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vanespark.llm._util import cols, record_batch, strs, written
-
-#: Digests that occur twice are broadcast up to so many (16 bytes and a row each), joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+from vanespark.llm._util import broadcast_if_small, cols, record_batch, strs, written
 
 
 def canonical(text: str) -> bytes:
@@ -45,9 +42,7 @@ def collisions(docs: DataFrame, digests: DataFrame) -> DataFrame:
     Only buckets of two or more are looked at; their texts meet as a least and a greatest one, pre-aggregated in each task, so
     a bucket of any size costs one row a task.
     """
-    twice = written(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("digest"), "twice")
-    if twice.count() <= BROADCAST_ROWS:
-        twice = F.broadcast(twice)
+    twice = broadcast_if_small(written(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("digest"), "twice"), 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

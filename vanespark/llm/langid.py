@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanespark.llm._util import cols, record_batch, strs, tidy
+from vanespark.llm._util import cols, packed, record_batch, strs, tidy
 
 DIM = 512
 SEED = 20
@@ -200,6 +200,6 @@ def identify(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with the columns of ``docs``."""
-    out = identify(docs, dim, seed).where("lang_pred <> 'und'")
-    return out.select(*docs.columns)
+    """The rows of ``docs`` whose text has a language, with the columns of ``docs``; those predicted ``und`` go."""
+    out = identify(packed(docs, "doc_id", "text", "lang"), dim, seed).where("lang_pred <> 'und'")
+    return out.select("_doc.*")

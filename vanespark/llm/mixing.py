@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vanespark.llm._util import written
+from vanespark.llm._util import broadcast_if_small, own, packed, written
 
 LEVELS = ("domain", "lang", "source")
 #: Relative weights among siblings, the same under every parent; a value that isn't listed has weight 1.
@@ -21,7 +21,8 @@ SEED = 7
 #: Part of all tokens that the budget is, as a fraction of whole numbers.
 BUDGET = (1, 2)
 MAX_EPOCHS = 2
-BROADCAST_LEAVES = 100_000
+#: Bytes of a leaf's row, names included, as its broadcast is judged.
+LEAF_BYTES = 512
 SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 
 
@@ -77,23 +78,29 @@ def _order_key(seed: int) -> Column:
 
 
 def _by_leaf(rows: DataFrame, leaves: DataFrame, leaf: list[str]) -> DataFrame:
-    """``rows`` with their leaf's columns: leaves are broadcast up to a checked number, as a hot leaf's rows are best left where
-    they are; beyond it they are joined by a shuffle."""
-    return rows.join(F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves, leaf)
+    """``rows`` with their leaf's columns: leaves are broadcast up to a checked size, as a hot leaf's rows are best left where
+    they are; beyond it they are joined by a shuffle, whose hot partitions adaptive execution splits."""
+    return rows.join(broadcast_if_small(leaves, LEAF_BYTES), leaf)
 
 
 def mix(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source and others) that the mix takes, with domain, tokens and copies, the
-    number of epochs that hold the row.
+    number of epochs that hold the row. Columns of ``docs`` named domain, tokens or copies give way; see :func:`taken`."""
+    kept = own([c for c in docs.columns if c.lower() not in ("domain", "tokens", "copies")])
+    return taken(docs, budget, max_epochs, seed).select(*kept, "domain", "tokens", "copies")
+
+
+def taken(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """(_doc, domain, tokens, copies): the rows of ``docs`` that the mix takes, each whole in a struct, so that its columns may
+    have any name.
 
     Null lang or source is a leaf of its own; null text has no tokens and goes with whatever prefix it falls in. In an epoch
     documents go by md5 of seed, epoch and doc_id, ties by a hash of the text. A leaf without tokens and an empty table give
-    nothing. Columns of ``docs`` named domain, tokens or copies give way.
+    nothing.
 
     A leaf's prefix is found by totals of 65,536 ranges of the order key, so a leaf of any size is summed in parallel; only the
     one range in which the prefix ends is ordered row by row.
     """
-    docs = docs.select(*(c for c in docs.columns if c not in ("domain", "tokens", "copies")))
     leaf = ["_domain", "_lang", "_source"]
     slim = written(_leaved(docs.select("doc_id", "text", "lang", "source")).select("doc_id", *leaf, tokens_of(F.col("text")).alias("tokens")), "mix")
     totals = slim.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").toDF(*LEVELS, "tokens")
@@ -105,20 +112,20 @@ def mix(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX
     run = F.sum("t").over(W.partitionBy(*leaf).orderBy("_range"))
     cut = sums.withColumn("upto", run).where("upto > _rest and upto - t <= _rest").select(*leaf, F.col("_range").alias("_cut"), (F.col("_rest") - F.col("upto") + F.col("t")).alias("_left"))
     plan = written(share.join(cut, leaf, "left").select(*leaf, "_epoch", "_cut", "_left"), "plan")
-    rows = _by_leaf(_leaved(docs), plan, leaf).withColumn("_key", _order_key(seed)).withColumn("_range", F.substring("_key", 1, 4))
+    rows = _by_leaf(_leaved(packed(docs, "doc_id", "text", "lang", "source")), plan, leaf).withColumn("_key", _order_key(seed)).withColumn("_range", F.substring("_key", 1, 4))
     rows = rows.withColumn("tokens", tokens_of(F.col("text")))
     # rows before the cut are in, rows after it are out; null cut: the budget is a whole number of epochs
     sure = rows.where("_cut is null or _range <> _cut").withColumn("copies", F.col("_epoch") + F.when(F.col("_range") < F.col("_cut"), 1).otherwise(0))
     edge = W.partitionBy(*leaf).orderBy("_key", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)
     close = rows.where("_range = _cut").withColumn("copies", F.col("_epoch") + F.when(F.sum("tokens").over(edge) <= F.col("_left"), 1).otherwise(0))
     out = sure.unionByName(close).where("copies > 0")
-    return out.select(*docs.columns, F.col("_domain").alias("domain"), "tokens", F.col("copies").cast("long").alias("copies"))
+    return out.select("_doc", F.col("_domain").alias("domain"), "tokens", F.col("copies").cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each row as many times as epochs hold it."""
-    out = mix(docs, budget, max_epochs, seed)
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    out = taken(docs, budget, max_epochs, seed)
+    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
 
 
 def _sql_weight(level: str) -> str:
