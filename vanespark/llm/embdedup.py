@@ -124,27 +124,66 @@ def bit_masks(bits: int, threshold: float = THRESHOLD) -> list[int]:
 
 
 _LINK = pa.schema([("rep", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
+_SEEN = pa.schema([("rep", pa.int64()), ("t", pa.int32()), ("k", pa.int64())])
+
+
+def hamming_radius(threshold: float = THRESHOLD, bits: int = BITS) -> int:
+    """Differing bits of a code beyond which vectors aren't compared: six standard deviations above the mean at ``threshold``."""
+    differ = np.arccos(min(threshold, 1.0)) / np.pi
+    return int(np.ceil(bits * differ + 6 * np.sqrt(bits * differ * (1 - differ))))
+
+
+def _members(codes: DataFrame, places: list[int]) -> DataFrame:
+    """(label, dim, rep, code, t, k): a row for each table, k being the substring."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in places]
+    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("k")) for t, m in enumerate(signed)))
+    return codes.withColumn("x", F.explode(tables)).select("label", "dim", "rep", "code", F.col("x.t").alias("t"), F.col("x.k").alias("k"))
+
+
+def _near(code: np.ndarray, radius: int) -> np.ndarray:
+    u = code.view(np.uint64)
+    return np.bitwise_count(u[:, None] ^ u[None, :]) <= radius
+
+
+def candidates(rows: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Those (rep, t, k) of :func:`_members` that have another code of their bucket within the radius: only codes are shuffled."""
+    keys = ["label", "dim", "t", "k", "tile_a", "tile_b"]
+    rows = tiled(rows, keys[:4], "rep", tile_rows).repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in key_runs(batches, keys):
+            rep, code, mine, ta, tb, t, k = (x.to_numpy(zero_copy_only=False) for x in cols(r, "rep", "code", "tile_own", "tile_a", "tile_b", "t", "k"))
+            near = _near(code, radius)
+            np.fill_diagonal(near, False)
+            if ta[0] != tb[0]:
+                near &= (mine == ta[0])[:, None] != (mine == ta[0])[None, :]
+            at = near.any(axis=1)
+            if at.any():
+                yield record_batch(_SEEN, [rep[at], t[at], k[at]])
+
+    return rows.select("rep", "code", "tile_own", *keys).mapInArrow(run, "rep long, t int, k long").distinct()
 
 
 def links(codes: DataFrame, bits: int, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(rep, n_links, root): rows linked with a class, in parts to be summed, and edges (rep, root) that connect what links do.
 
-    A pair of classes that meets in several tables is counted in the first of them.
+    The tables are first asked with codes alone; vectors go only to buckets where their code has another within
+    :func:`hamming_radius`. A pair of classes that meets in several tables is counted in the first of them.
     """
     places = bit_masks(bits, threshold)
-    signed = [m - (1 << 64) if m >> 63 else m for m in places]
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("k")) for t, m in enumerate(signed)))
-    rows = codes.withColumn("x", F.explode(tables)).select("label", "dim", "rep", "n", "code", "unit", F.col("x.t").alias("t"), F.col("x.k").alias("k"))
+    radius = hamming_radius(threshold)
+    asked = written(candidates(_members(codes.select("label", "dim", "rep", "code"), places), radius, tile_rows), "asked")
     own = ["label", "dim", "t", "k"]
     keys = [*own, "tile_a", "tile_b"]
-    rows = tiled(rows, own, "rep", tile_rows).repartition(*keys).sortWithinPartitions(*keys)
+    rows = tiled(codes.join(asked, "rep"), own, "rep", tile_rows).repartition(*keys).sortWithinPartitions(*keys)
     masks = [np.uint64(m) for m in places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in key_runs(batches, keys):
             rep, n, code, mine, ta, tb, t = (x.to_numpy(zero_copy_only=False) for x in cols(r, "rep", "n", "code", "tile_own", "tile_a", "tile_b", "t"))
             unit = np.frombuffer(b"".join(cols(r, "unit")[0].to_pylist()), dtype=np.float64).reshape(len(rep), -1)
-            adj = unit @ unit.T >= threshold
+            adj = _near(code, radius)
+            adj &= unit @ unit.T >= threshold
             np.fill_diagonal(adj, False)
             if ta[0] != tb[0]:
                 left = mine == ta[0]
