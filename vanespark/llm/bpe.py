@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from vanespark.llm._util import cols, record_batch, settled, tidy, utf8
+from vanespark.llm._util import cols, record_batch, settled, tidy, utf8, word_pieces
 
 #: A block ends with the document that brings it to so many distinct words or bytes of text.
-BLOCK_WORDS = 300_000
-BLOCK_BYTES = 16 << 20
+BLOCK_WORDS = 250_000
+BLOCK_BYTES = 12 << 20
 #: Bytes of input for each part of the word table.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 #: Documents to a packed row.
 ROW_DOCS = 256
+#: Words of a long text that are put together at once.
+PIECE = 1 << 20
 _tokenizers: dict = {}
 
 
@@ -81,11 +83,15 @@ def _blocks(docs: DataFrame, parts: int, block_words: int, block_bytes: int) ->
             for w in slots:
                 by.setdefault(xxhash.xxh64_intdigest(w) % parts, []).append(w)
             order = []
+            sent = []
             pack = zstandard.ZstdCompressor(level=3).compress
             for p in sorted(by):
                 own = sorted(by[p])
                 order += own
-                yield record_batch(_BLOCKS, [[block], [p], [None], [None], [pack(b" ".join(own))]])
+                sent.append(pack(b" ".join(own)))
+            if by:
+                none = [None] * len(by)
+                yield record_batch(_BLOCKS, [[block] * len(by), sorted(by), none, none, sent])
             yield record_batch(_BLOCKS, [[block], [-1], [None], [None], [_pack(np.fromiter((slots[w] for w in order), dtype="<i4", count=len(order)))]])
             for at in range(0, len(held), ROW_DOCS):
                 some = held[at : at + ROW_DOCS]
@@ -95,8 +101,8 @@ def _blocks(docs: DataFrame, parts: int, block_words: int, block_bytes: int) ->
             ids, text = cols(b, "doc_id", "text")
             for at in range(0, b.num_rows, ROW_DOCS):
                 for i, t in zip(ids.slice(at, ROW_DOCS).to_pylist(), utf8(text.slice(at, ROW_DOCS))):
-                    words = t.split()
-                    held.append((i, np.fromiter((slots.setdefault(w, len(slots)) for w in words), dtype="<i4", count=len(words))))
+                    parts_of = [np.fromiter((slots.setdefault(w, len(slots)) for w in words), dtype="<i4", count=len(words)) for words in word_pieces(t)]
+                    held.append((i, np.concatenate(parts_of) if parts_of else np.empty(0, dtype="<i4")))
                     size += len(t)
                     if len(slots) >= block_words or size >= block_bytes:
                         yield from flush()
@@ -179,13 +185,14 @@ def encode(docs: DataFrame, vocabulary: str | None = None, finish=None, out: pa.
             if kind == -1:
                 continue
             doc_ids += some
-            every = _unpack(words).tolist()
+            every = _unpack(words)
             end = 0
             for n in sizes:
                 at = every[end : end + n]
                 end += n
-                own = b"".join([ids[i] for i in at])
-                rows.append((len(own) // 4, *finish(own, b" ".join([decoded[i] for i in at if ids[i]]))))
+                own = b"".join(b"".join([ids[i] for i in at[k : k + PIECE].tolist()]) for k in range(0, n, PIECE))
+                text = b" ".join(x for k in range(0, n, PIECE) if (x := b" ".join([decoded[i] for i in at[k : k + PIECE].tolist() if ids[i]])))
+                rows.append((len(own) // 4, *finish(own, text)))
         out = pa.Table.from_arrays([pa.array(doc_ids, type=pa.int64()), *(pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(list(full)[1:]))], schema=full)
         tidy()
         return out
