@@ -18,7 +18,8 @@ from vanespark.llm._util import written
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Depth of the tree: segments beyond are one tail, which stands for all of them.
+#: Depth of the tree. The segments of deeper paths from the last level on are one branch: each is generalised by its nature there,
+#: but branches inside it aren't merged on their own.
 DEPTH = 6
 #: A node with more distinct children than this is a variable place.
 FAN_OUT = 32
@@ -59,6 +60,11 @@ def _variable(seg: Column) -> Column:
     return F.concat(kind, F.regexp_extract(seg, _EXTENSION, 1))
 
 
+def _named(seg: Column) -> Column:
+    """A segment's branch: its wildcard, or itself, with a backslash before what might be taken for a wildcard."""
+    return F.coalesce(_variable(seg), F.when(F.substring(seg, 1, 1).isin("{", "*", "\\"), F.concat(F.lit("\\"), seg)).otherwise(seg))
+
+
 def _share(bad: str, n: str, to: Column) -> Column:
     return (F.col(bad) + F.lit(SMOOTHING) * to) / (F.col(n) + F.lit(SMOOTHING))
 
@@ -66,13 +72,13 @@ def _share(bad: str, n: str, to: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, bad, template) from (page_id, host, path, bad); bad is 1, 0 or null where there is no label."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
+    parts = F.transform(parts, _named)
     cut = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1 << 30), "/")))).otherwise(parts)
     # one row for each distinct path of a host: all that the tree needs
     paths = pages.groupBy("host", "path").agg(F.sum("bad").alias("b"), F.count("bad").alias("n"))
     rows = written(paths.withColumn("seg", cut).withColumn("template", F.lit("")).withColumn("b", F.coalesce("b", F.lit(0)).cast("long")), "paths")
     for d in range(DEPTH):
-        seg = F.get("seg", F.lit(d))
-        rows = rows.withColumn("s", F.coalesce(_variable(seg), seg))
+        rows = rows.withColumn("s", F.get("seg", F.lit(d)))
         kids = rows.where("s is not null").groupBy("host", "template", "s").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
         node = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("fan"), F.sum("b").alias("pb"), F.sum("n").alias("pn"))
         kids = kids.join(node, ["host", "template"])
@@ -115,10 +121,10 @@ def oracle_sql(rules=RULES) -> str:
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + f" WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END"
     stem = f"regexp_replace(x, '{_EXTENSION}', '')"
-    variable = f"(CASE WHEN regexp_matches({stem}, '{_NUMBER}') THEN '{{n}}' WHEN regexp_matches({stem}, '{_HEX}') THEN '{{hex}}' WHEN regexp_matches({stem}, '[0-9]') AND length({stem}) >= 8 THEN '{{id}}' END) || regexp_extract(x, '{_EXTENSION}', 1)"
+    variable = f"coalesce((CASE WHEN regexp_matches({stem}, '{_NUMBER}') THEN '{{n}}' WHEN regexp_matches({stem}, '{_HEX}') THEN '{{hex}}' WHEN regexp_matches({stem}, '[0-9]') AND length({stem}) >= 8 THEN '{{id}}' END) || regexp_extract(x, '{_EXTENSION}', 1), CASE WHEN x[1] IN ('{{', '*', chr(92)) THEN chr(92) || x ELSE x END)"
     levels = []
     for d in range(DEPTH):
-        levels.append(f"""a{d} AS (SELECT * EXCLUDE x, coalesce({variable}, x) AS s FROM (SELECT *, seg[{d + 1}] AS x FROM t{d})),
+        levels.append(f"""a{d} AS (SELECT *, seg[{d + 1}] AS s FROM t{d}),
 k{d} AS (SELECT host, template, s, sum(b) AS b, sum(n) AS n FROM a{d} WHERE s IS NOT NULL GROUP BY host, template, s),
 m{d} AS (SELECT *, count(*) OVER g AS fan, (sum(b) OVER g + 1.0::DOUBLE) / (sum(n) OVER g + 2.0::DOUBLE) AS p FROM k{d} WINDOW g AS (PARTITION BY host, template)),
 f{d} AS (SELECT *, n > 0 AND abs(b - n * p) / sqrt(greatest(n, 1) * p * (1 - p)) >= {APART} AS keep FROM m{d}),
@@ -127,7 +133,7 @@ t{d + 1} AS (SELECT host, path, b, n, seg, CASE WHEN dest IS NULL THEN template
     return f"""WITH l AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 r AS (SELECT page_id, coalesce({rest}, '') AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, bad FROM r LEFT JOIN l USING (page_id)),
-c AS (SELECT host, path, coalesce(sum(bad), 0) AS b, count(bad) AS n, string_split(regexp_replace(path, '^/', ''), '/') AS seg FROM h GROUP BY host, path),
+c AS (SELECT host, path, coalesce(sum(bad), 0) AS b, count(bad) AS n, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda x: {variable}) AS seg FROM h GROUP BY host, path),
 t0 AS (SELECT host, path, b, n, CASE WHEN len(seg) > {DEPTH} THEN list_append(seg[1:{DEPTH - 1}], array_to_string(seg[{DEPTH}:], '/')) ELSE seg END AS seg, '' AS template FROM c),
 {", ".join(levels)},
 e AS (SELECT page_id, host, path, bad, template FROM h JOIN t{DEPTH} USING (host, path)),
