@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -13,33 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vanespark.llm._util import adjacency_roots, cols, key_runs, record_batch, tidy, utf8, written
+from vanespark.llm._util import PIECE_BYTES, adjacency_roots, cols, key_runs, packed, record_batch, tidy, utf8, word_pieces, written
 from vanespark.llm.components import connected_components
 
 TILE_ROWS = 2048
 CHUNK = 1 << 15
-#: Bytes of a text whose words are held at once.
-PIECE = 1 << 20
 
 
-_GAP = re.compile(rb"[\x09-\x0d ]")
-
-
-def word_pieces(text: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
-    """The words of ``text`` (A-Z lower-cased, parted by ASCII white space), of about ``size`` bytes at a time."""
-    at = 0
-    while at < len(text):
-        gap = _GAP.search(text, at + size) if at + size < len(text) else None
-        end = gap.start() if gap else len(text)
-        yield text[at:end].lower().split()
-        at = end
-
-
-def shingle_pieces(text: bytes, width: int, size: int = PIECE) -> Iterator[tuple[Iterator[bytes], int]]:
+def shingle_pieces(text: bytes, width: int, size: int = PIECE_BYTES) -> Iterator[tuple[Iterator[bytes], int]]:
     """(shingles, their number), piece by piece: every ``width`` words with repeats; a shorter sequence is one shingle, none is none."""
     tail: list[bytes] = []
     short = True
-    for words in word_pieces(text, size):
+    for words in word_pieces(text, size, bytes.lower):
         words = tail + words
         if len(words) >= width:
             short = False
@@ -282,25 +266,12 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long, x long, y long, bands array<long>")
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is ``similarity`` or more, in whole numbers."""
-    total = np.concatenate([a, b])
-    total.sort()
-    both = int((total[1:] == total[:-1]).sum())
-    return both * similarity[1] >= similarity[0] * (len(total) - both)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets (node, shingles) are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            a, b, s, t = cols(r, "a", "b", "s", "t")
-            ok = pa.array([alike(np.frombuffer(i, dtype="<u8"), np.frombuffer(j, dtype="<u8"), similarity) for i, j in zip(s.to_pylist(), t.to_pylist())], pa.bool_())
-            yield record_batch(_EDGE, [a.filter(ok), b.filter(ok)])
-
+    """Those of ``pairs`` (a, b) whose sets (node, shingles) are alike, in whole numbers."""
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "s"), ("b", "t")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("s", "t"))
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("s") + F.size("t")).alias("total"), both.alias("both"))
+    return full.where(F.col("both") * similarity[1] >= (F.col("total") - F.col("both")) * similarity[0]).select("a", "b")
 
 
 def _near(a: str, b: str, radius: int = WIDE_RADIUS) -> F.Column:
@@ -313,7 +284,7 @@ def _may_be(n: str, m: str, similarity: tuple[int, int]) -> F.Column:
     return F.least(n, m) * similarity[1] >= F.greatest(n, m) * similarity[0]
 
 
-_MET = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_SHINGLES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
 def set_links(members: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -379,10 +350,11 @@ def set_links(members: DataFrame, sets: DataFrame, similarity: tuple[int, int] =
                 held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
                 rows += len(i)
                 if rows > 100_000:
-                    yield record_batch(_MET, [np.concatenate(v) for v in zip(*held)])
+                    yield record_batch(_EDGE, [np.concatenate(v) for v in zip(*held)])
                     held, rows = [], 0
         if held:
-            yield record_batch(_MET, [np.concatenate(v) for v in zip(*held)])
+            yield record_batch(_EDGE, [np.concatenate(v) for v in zip(*held)])
+        tidy()
 
     met = rest.select("node", "n", "c", "x", "y", "tile_own", *keys).mapInArrow(run, "a long, b long")
     add(verified(met.distinct(), sets, similarity))
@@ -410,12 +382,13 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, text = cols(b, "node", "text")
-            yield pa.RecordBatch.from_arrays([node, pa.array([shingles_of(t, width).tobytes() for t in utf8(text)], pa.binary())], names=["node", "shingles"])
+            for at in range(0, b.num_rows, 64):
+                node, text = cols(b.slice(at, 64), "node", "text")
+                yield record_batch(_SHINGLES, [node, [shingles_of(t, width).view(np.int64) for t in utf8(text)]])
         tidy()
 
     own = docs.select("doc_id", "text").join(source, (F.xxhash64("text") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    sets = written(own.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    sets = written(own.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     comp = set_links(members, sets, similarity, radius, tile_rows)
     least_of = fp.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     of = least_of.join(comp, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
@@ -429,6 +402,7 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     least hash. ``groups`` is (doc_id, text_hash, component) for each row."""
     firsts = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     firsts = written(firsts.select(F.col("first.doc_id").alias("_first"), F.col("first.text_hash").alias("_hash")), "firsts")
-    kept = docs.withColumn("_text", F.xxhash64("text")).join(firsts, (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    rows = packed(docs, "doc_id", F.xxhash64("text").alias("_text"))
+    kept = rows.join(firsts, (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_first")))
     nth = F.row_number().over(W.partitionBy("doc_id", "_text").orderBy("_text"))  # of rows that repeat id and text one stays
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return kept.withColumn("_nth", nth).where("_nth = 1").select("_doc.*")
