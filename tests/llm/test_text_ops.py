@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.oracle import assert_same
@@ -147,7 +148,7 @@ def _brute_lines(texts, least):
     seqs = []
     for _, t in texts:
         lines = [(k, x.translate({ord(c): " " for c in linededup.SPACE}).strip(" ")) for k, x in enumerate((t or "").split("\n"))]
-        seqs.append([(k, x, x.count(" ") + 1) for k, x in lines if x])
+        seqs.append([(k, x, len(re.split(" +", x))) for k, x in lines if x])
     at = {}
     for d, s in enumerate(seqs):
         for p, (_, x, _) in enumerate(s):
@@ -173,7 +174,7 @@ def _brute_lines(texts, least):
 @pytest.mark.parametrize("seed,least", [(1, 8), (2, 3), (3, 12)])
 def test_line_dedup_equals_brute_force(spark, seed, least):
     rng = random.Random(seed)
-    lines = ["a", "b c", "d e f", "g", "h i j k l m n o p q", "  ", "", "r s\tt", " a "]
+    lines = ["a", "b c", "d e f", "g", "h i j k l m n o p q", "  ", "", "r s\tt", " a ", "u          v"]
     texts = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14)))) for i in range(50)] + [(100, None), (101, "")]
     table = spark.createDataFrame([(*t, 7) for t in texts], f"{DOCS}, n_deleted int").repartition(5)
     got = linededup.dedup_lines(table, least)
@@ -188,6 +189,33 @@ def test_line_dedup_of_the_documents(docs, plain, none):
     assert linededup.dedup_lines(docs).count() == len(plain)
 
 
+@pytest.mark.parametrize("seed,least", [(5, 4), (6, 2), (7, 8)])
+def test_maximal_runs_of_lines(spark, seed, least):
+    rng = random.Random(seed)
+    blocks = [[f"{w} {k}" for k in range(rng.randint(1, 23))] for w in "abcdef"]
+    texts = {i: [x for _ in range(rng.randint(1, 4)) for x in [*rng.choice(blocks), *([f"own {i}"] * rng.randint(0, 1))]] for i in range(40)}
+    table = spark.createDataFrame([(i, "\n\n".join(t)) for i, t in texts.items()], DOCS).repartition(5)
+    runs = linededup.repeated_runs(table, least).collect()
+    deep = 0
+    for r in runs:  # every run is one: whole, equal, of an earlier place, and it can't be prolonged along its source
+        a, b, n = texts[r.doc_id], texts[r.of_doc_id], r.lines
+        i, j = r.first_line // 2, r.of_line // 2
+        assert n >= least and r.last_line == 2 * (i + n - 1) and (r.of_doc_id, j) < (r.doc_id, i) and a[i : i + n] == b[j : j + n]
+        deep += n > 16
+    assert deep
+    covered = {(r.doc_id, k) for r in runs for k in range(r.first_line // 2, r.last_line // 2 + 1)}
+    want = set()
+    seen: dict = {}
+    for i, t in texts.items():
+        for k in range(len(t) - least + 1):
+            w = tuple(t[k : k + least])
+            if w in seen:
+                want |= {(i, x) for x in range(k, k + least)}
+            seen.setdefault(w, (i, k))
+    assert covered == want
+    assert linededup.repeated_runs(table.limit(0), least).count() == 0
+
+
 def test_line_dedup_runs_no_python(docs):
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -260,11 +288,23 @@ def test_lm_scores_equal_brute_force(docs, plain, none):
                 else:
                     total += math.log(0.4)
         want.append((i is None, i or 0, len(w), pytest.approx(total, abs=1e-3, rel=1e-9)))
-    got = [(r.doc_id is None, r.doc_id or 0, r.n_words, r.log_score) for r in lmscore.score(docs, block_bytes=100_000, part_bytes=50_000).collect()]
-    assert sorted(got) == sorted(want, key=lambda x: x[:3])
+    for block_bytes in (100_000, 700):  # the second cuts most texts into pieces
+        got = [(r.doc_id is None, r.doc_id or 0, r.n_words, r.log_score) for r in lmscore.score(docs, block_bytes=block_bytes, part_bytes=50_000).collect()]
+        assert sorted(got) == sorted(want, key=lambda x: x[:3])
     assert lmscore.score(none).count() == 0
 
 
+def test_pieces_of_a_text_carry_their_context():
+    for text in (b"one two  three four five six", b" a b ", b"longword " * 9, b"x" * 40, b"  "):
+        for order in (1, 2, 3):
+            words = []
+            for piece, skip in lmscore.pieces_of(text, order, 6):
+                own = piece.split()
+                assert own[:skip] == words[max(0, len(words) - order + 1) :] and skip == min(order - 1, len(words))
+                words += own[skip:]
+            assert words == text.split()
+
+
 _ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -407,8 +447,6 @@ def test_shingles_do_not_depend_on_the_pieces_of_a_text():
 
 
 def test_tiles_bring_together_what_is_near_in_population_count(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(4)
     rows = [(k, rng.getrandbits(40) & rng.getrandbits(40)) for k in range(3) for _ in range(2 if k == 2 else 150)]
     table = spark.createDataFrame(rows, "k long, v long").distinct()
@@ -428,3 +466,61 @@ def test_tiles_bring_together_what_is_near_in_population_count(spark):
             if k == l and abs(v.bit_count() - u.bit_count()) <= 2:
                 assert met.pop((k, min(u, v), max(u, v))) == 1
     assert all(k == 2 for k, _, _ in met) or len(met) < len(every) ** 2 / 4  # tiles further apart never meet
+
+
+def test_columns_of_any_name_pass_through(spark, docs):
+    names = ["gone", "_d", "_h", "d", "h", "lines", "_cut", "_epoch", "_left", "_doc", "_text", "_nth", "lang_pred", "score", "held_out", "n_deleted", "domain", "tokens", "copies", "_key", "a b`c"]
+    more = docs.where("doc_id is not null").withColumns({"lang": F.lit("en"), "source": F.lit("src1")})
+    for k, n in enumerate(names):
+        more = more.withColumn(n, F.lit(k))
+    for f in (langid.keep_identified, linededup.drop_emptied, mixing.mixed, lambda d: simhash.keep_first(d, simhash.similar_documents(d))):
+        got = f(more)
+        assert got.columns == more.columns
+        some = got.select(*(f"`{n.replace('`', '``')}`" for n in names)).distinct().collect()
+        assert [list(r) for r in some] == [list(range(len(names)))]
+    assert linededup.dedup_lines(more).columns == [c for c in more.columns if c != "n_deleted"] + ["n_deleted"]
+    assert mixing.mix(more).columns == [c for c in more.columns if c not in ("domain", "tokens", "copies")] + ["domain", "tokens", "copies"]
+
+
+def test_language_id_equals_brute_force(spark):
+    """Trigrams, binding, bundling and cosines by plain loops, from the letters' random vectors alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(9001, None, "en"), (9002, "12 34 !", "en"), (9003, "", None), (None, "Größe ñandú 東京 x", "zz"), (9004, "Größe ñandú 東京 x", None)], "doc_id long, text string, lang string")
+    docs = docs.unionByName(more)
+    base = langid.letter_vectors(langid.DIM, langid.SEED)[2].astype(int)
+    slot = lambda c: ord(c) if ord(c) < 1024 else 1024 + ((ord(c) * 2654435761) >> 13) % 1024
+    grams: dict = {}
+
+    def vector(text):
+        seq = [0]
+        for c in (text or "").lower():
+            x = slot(c) if c.isalpha() else 0
+            if x or seq[-1]:
+                seq.append(x)
+        seq += [0] * bool(seq[-1])
+        total = np.zeros(langid.DIM)
+        for g in zip(seq, seq[1:], seq[2:]):
+            if g not in grams:
+                grams[g] = np.roll(base[g[0]], 2) * np.roll(base[g[1]], 1) * base[g[2]]
+            total += grams[g]
+        return total if any(x for x in seq) else None
+
+    import zlib
+
+    rows_ = [(r.doc_id, vector(r.text), r.lang) for r in docs.collect()]
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1
+    proto: dict = {}
+    for i, v, lang in rows_:
+        if not out(i) and lang is not None and v is not None:
+            proto[lang] = proto.get(lang, 0) + v
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    want = []
+    for i, v, _ in rows_:
+        if v is None:
+            want.append((-1 if i is None else i, out(i), "und", 0.0))
+            continue
+        c = {lang: float(unit(v) @ unit(p)) for lang, p in proto.items()}
+        best = max(sorted(c), key=c.get)
+        want.append((-1 if i is None else i, out(i), best, pytest.approx(min(1.0, max(0.0, c[best])), abs=1e-5)))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.lang_pred, r.score) for r in langid.identify(docs).collect()]
+    assert sorted(got) == sorted(want, key=lambda x: x[:3])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanespark.llm import bpe, embdedup, fingerprint, langid, linededup, lmscore, mixing, secretscan, simhash, urlfilter
+from vanespark.tables import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +47,15 @@ def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(_table(spark, sf_dir, "documents"))
+    out = lmscore.score(_table(spark, sf_dir, "documents"))  # score: the mean over the words, which compares documents of any length
+    return out.select("doc_id", "n_words", F.col("mean_log_score").alias("score"), F.col("log_score").alias("log_sum"))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.digest_columns(secretscan.find_secrets(_table(spark, sf_dir, "documents")))
+    docs = _table(spark, sf_dir, "documents")
+    ledger = new_path(spark, "ledger")
+    secretscan.update(docs, ledger)
+    return secretscan.digest_columns(secretscan.update(docs, ledger))  # the second scan finds every blob in the ledger
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

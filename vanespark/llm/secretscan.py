@@ -14,11 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanespark.llm._util import cols, record_batch, strs, written
+from vanespark.llm._util import broadcast_if_small, cols, record_batch, strs, written
 
 RULE_VERSION = 2
-#: Blobs that occur twice are broadcast up to so many, joined by a shuffle beyond.
-BROADCAST_ROWS = 500_000
 
 
 def _either_case(word: str) -> str:
@@ -79,9 +77,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: int = RULE_V
     if ledger is not None:
         rows = rows.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
     # a blob of several rows is read where its least doc_id is; the many blobs of one row need no shuffle of texts
-    several = written(rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "several")
-    if several.count() <= BROADCAST_ROWS:
-        several = F.broadcast(several)
+    several = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
+    several = broadcast_if_small(written(several, "several"), 128)
     rows = rows.join(several.withColumn("many", F.lit(True)), "blob", "left").where("many is null or doc_id <=> first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
