@@ -560,7 +560,7 @@ def residuals(spark, sf_dir):
     return r.select("vec_id", "list_id", F.round(-vectors.score(Metric.L2, "embedding", "cv"), 6).alias("score"), F.round(F.aggregate("r", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@_query("SELECT * FROM (VALUES ('L2', 'l2', false), (' Cosine ', 'cosine', true), ('dot', 'unknown', NULL), ('8, 16,x,, 32', '8,16,32', NULL)) t(given, parsed, is_cosine)")
+@_query("SELECT * FROM (VALUES ('L2', 'l2', false), (' Cosine ', 'cosine', true), ('dot', 'unknown', false), ('8, 16,x,, 32', '8,16,32', false)) t(given, parsed, is_cosine)")
 def parsed_arguments(spark, sf_dir):
     out = []
     for name in ("L2", " Cosine ", "dot"):
@@ -568,9 +568,9 @@ def parsed_arguments(spark, sf_dir):
             m = Metric.parse(name)
             out.append((name, m.value, m.is_cosine))
         except ValueError:
-            out.append((name, "unknown", None))
+            out.append((name, "unknown", False))
     given = "8, 16,x,, 32"
-    out.append((given, ",".join(map(str, files.parse_list(given))), None))
+    out.append((given, ",".join(map(str, files.parse_list(given))), False))
     return spark.createDataFrame(out, "given string, parsed string, is_cosine boolean")
 
 
@@ -609,9 +609,10 @@ def hybrid_ivfpq_search(spark, sf_dir):
 
 @_query(_ranked(f"WITH {_Q}, {_E}, {_LIVE}, s AS (SELECT qid, vec_id, list_cosine_similarity(qv, v) AS score FROM q, w)"))
 def ivf_upsert_search(spark, sf_dir):
-    rows = _tagged(_rows(spark, sf_dir)).select("vec_id", "embedding", "tags")
-    flipped = rows.where("vec_id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
-    added = rows.where("vec_id % 7 = 1").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    rows = _rows(spark, sf_dir)
+    new = _tagged(rows).select("vec_id", "embedding", "tags")
+    flipped = new.where("vec_id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    added = new.where("vec_id % 7 = 1").withColumn("vec_id", F.col("vec_id") + 1_000_000)
     return _out(_ivf(rows).upsert(flipped.unionByName(added)).search(_asks(rows), K, nprobe=NLIST))
 
 
@@ -655,7 +656,7 @@ def kmeans_converged(spark, sf_dir):
     return spark.createDataFrame([(len(means), all(np.allclose(means[i], c[i], atol=1e-6) for i in means), bool(near))], "lists int, means boolean, nearest boolean")
 
 
-@_query("WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at, count(*) OVER () AS n FROM embeddings) SELECT vec_id FROM n WHERE at % ceil(n / 100.0)::BIGINT = 0")
+@_query("WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings) SELECT vec_id FROM n WHERE place % ceil(n / 100.0)::BIGINT = 0")
 def strided_sample(spark, sf_dir):
     return kmeans.strided(_rows(spark, sf_dir), 100).select("vec_id")
 
