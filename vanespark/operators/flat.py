@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vanespark.functions.vectors import Metric, score
+from vanespark.functions.vectors import Metric, dot, normalized, score
 from vanespark.operators import kernel
 from vanespark.operators.topk import top_k, top_k_single
 
@@ -74,9 +74,11 @@ class FlatIndex:
     def search_sql(self, queries: DataFrame, k: int) -> DataFrame:
         """As :meth:`search`, in column expressions alone: for a small query table, which is broadcast under Spark's own size
         check and else joined as a nested loop."""
-        q = queries.select("qid", F.col("embedding").alias("_q"))
-        scored = self.rows.join(q).withColumn("score", score(self.metric, "_q", "embedding"))
-        return top_k(scored.select("qid", "vec_id", "score"), k)
+        whole = normalized if self.metric.is_cosine else lambda v: F.col(v).cast("array<double>")
+        q = queries.select("qid", whole("embedding").alias("_q"))
+        scored = self.rows.select("vec_id", whole("embedding").alias("_v")).join(q)  # lengths are taken once a row, not once a pair
+        s = dot("_q", "_v") if self.metric.is_cosine else score(self.metric, "_q", "_v")
+        return top_k(scored.select("qid", "vec_id", s.alias("score")), k)
 
     def search_one(self, vector: list[float], k: int) -> DataFrame:
         """(vec_id, score) of the k best rows for one vector."""

@@ -235,6 +235,6 @@ def sweep_file(runs: DataFrame, index, rows: int, path: str) -> None:
     named = lambda name, other: F.coalesce(F.nullif(F.regexp_extract("config", rf"\b{name}=(\d+)", 1), F.lit("")).cast("int"), F.lit(other))
     mode = getattr(p, "opq_mode", "none")
     values = [type(index).__name__, index.metric.value, rows, index.centroids.shape[1], p.nlist, None, None, getattr(p, "m", None), getattr(p, "nbits", None), getattr(p, "iters", getattr(p, "max_iters", None)), mode != "none", mode, p.sample, getattr(p, "store_vectors", True), runs.sparkSession.sparkContext.defaultParallelism]
-    own = dict(zip(SETTINGS, map(F.lit, values))) | {"probes": named("nprobe", p.nprobe), "reranked": named("refine", getattr(p, "refine", None))}
+    own = {c: F.lit(v).cast("string") if v is None else F.lit(v) for c, v in zip(SETTINGS, values)} | {"probes": named("nprobe", p.nprobe), "reranked": named("refine", getattr(p, "refine", None))}
     table = runs.select(*(own[c].alias(c) for c in SETTINGS), *RESULTS)
     table.coalesce(1).write.option("header", True).csv(path)  # a row a configuration
