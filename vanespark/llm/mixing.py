@@ -83,6 +83,14 @@ def _by_leaf(rows: DataFrame, leaves: DataFrame, leaf: list[str]) -> DataFrame:
     return rows.join(broadcast_if_small(leaves, LEAF_BYTES), leaf)
 
 
+def _cut_of(rows: DataFrame, leaf: list[str], rest: str, part: str) -> DataFrame:
+    """(leaf..., part, left): the part of each leaf's rows in which ``rest`` tokens end, and how many of them are left there."""
+    sums = rows.groupBy(*leaf, rest, part).agg(F.sum("tokens").alias("t"))
+    upto = F.sum("t").over(W.partitionBy(*leaf).orderBy(part))
+    end = sums.withColumn("upto", upto).where((F.col("upto") > F.col(rest)) & (F.col("upto") - F.col("t") <= F.col(rest)))
+    return end.select(*leaf, part, F.col(rest) - F.col("upto") + F.col("t"))
+
+
 def mix(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source and others) that the mix takes, with domain, tokens and copies, the
     number of epochs that hold the row. Columns of ``docs`` named domain, tokens or copies give way; see :func:`taken`."""
@@ -98,8 +106,8 @@ def taken(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = M
     documents go by md5 of seed, epoch and doc_id, ties by a hash of the text. A leaf without tokens and an empty table give
     nothing.
 
-    A leaf's prefix is found by totals of 65,536 ranges of the order key, so a leaf of any size is summed in parallel; only the
-    one range in which the prefix ends is ordered row by row.
+    A leaf's prefix is found by totals of 256 ranges of the order key and of 256 parts of the one in which it ends, so a leaf of
+    any size is summed in parallel; only one part in 65,536 of its rows is ordered row by row.
     """
     leaf = ["_domain", "_lang", "_source"]
     slim = written(_leaved(docs.select("doc_id", "text", "lang", "source")).select("doc_id", *leaf, tokens_of(F.col("text")).alias("tokens")), "mix")
@@ -108,9 +116,9 @@ def taken(docs: DataFrame, budget: tuple[int, int] = BUDGET, max_epochs: int = M
     full = F.least(F.floor(F.col("_budget") / F.col("_total")), F.lit(max_epochs)).cast("int")
     share = written(share.withColumn("_epoch", full).withColumn("_rest", F.col("_budget") - F.col("_epoch") * F.col("_total")), "share")
     ranged = _by_leaf(slim, share, leaf).withColumn("_range", F.substring(_order_key(seed), 1, 4))
-    sums = ranged.groupBy(*leaf, "_rest", "_range").agg(F.sum("tokens").alias("t"))
-    run = F.sum("t").over(W.partitionBy(*leaf).orderBy("_range"))
-    cut = sums.withColumn("upto", run).where("upto > _rest and upto - t <= _rest").select(*leaf, F.col("_range").alias("_cut"), (F.col("_rest") - F.col("upto") + F.col("t")).alias("_left"))
+    wide = _cut_of(ranged.withColumn("_wide", F.substring("_range", 1, 2)), leaf, "_rest", "_wide")
+    near = _by_leaf(ranged, written(wide, "wide").toDF(*leaf, "_at", "_rest_there"), leaf).where(F.startswith("_range", "_at"))
+    cut = _cut_of(near, leaf, "_rest_there", "_range").toDF(*leaf, "_cut", "_left")
     plan = written(share.join(cut, leaf, "left").select(*leaf, "_epoch", "_cut", "_left"), "plan")
     rows = _by_leaf(_leaved(packed(docs, "doc_id", "text", "lang", "source")), plan, leaf).withColumn("_key", _order_key(seed)).withColumn("_range", F.substring("_key", 1, 4))
     rows = rows.withColumn("tokens", tokens_of(F.col("text")))
