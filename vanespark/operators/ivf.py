@@ -80,6 +80,17 @@ class IvfIndex:
         """The index less the rows of ``ids`` (vec_id)."""
         return self.delete(ids)
 
+    def probes(self, queries: DataFrame, nprobe: int | None = None) -> DataFrame:
+        """(qid, list_id): the lists that a search of each query probes."""
+        c, metric, n = self.centroids, self.metric, nprobe or self.params.nprobe
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = probe_lists(kernel.matrix(b.column(1), c.shape[1]), c, metric, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), at.shape[1])), pa.array(at.ravel().astype(np.int32))], names=["qid", "list_id"])
+
+        return queries.select("qid", "embedding").mapInArrow(run, "qid long, list_id int")
+
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, tag_mask: int | None = None, tag_mode: str = "all") -> DataFrame:
         """(qid, vec_id, score, rk) of the k best live rows in the probed lists."""
         rows = self.lists.where(~F.col("deleted"))

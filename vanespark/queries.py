@@ -21,7 +21,7 @@ from vanespark.functions.vectors import Metric
 from vanespark.operators import opq
 from vanespark.operators.flat import FlatIndex
 from vanespark.operators.hybrid import HybridIndex, mutate
-from vanespark.operators.ivf import IvfIndex, IvfParams, latest, probe_lists
+from vanespark.operators.ivf import IvfIndex, IvfParams, latest
 from vanespark.operators.ivfpq import IvfPqIndex, IvfPqParams, rescored
 from vanespark.operators.pq import ProductQuantizer
 from vanespark.plans import evaluate, kmeans
@@ -159,12 +159,7 @@ _PROBE = f"p AS (SELECT qid, list_id FROM (SELECT qid, list_id, row_number() OVE
 @_query(f"WITH {_Q}, {_C}, {_PROBE} SELECT qid, list_id FROM p")
 def probe_lists_topn(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    asks = _asks(rows)
-    c = _fixed(rows, NLIST)
-    from vanespark.operators.kernel import query_blocks
-
-    out = [(int(q), int(x)) for qids, v in query_blocks(asks) for q, row in zip(qids, probe_lists(v, c, Metric.COSINE, NPROBE)) for x in row]
-    return spark.createDataFrame(out, "qid long, list_id int")
+    return _ivf(rows).probes(_asks(rows))
 
 
 def _ivf(rows: DataFrame) -> IvfIndex:
