@@ -524,3 +524,11 @@ def test_language_id_equals_brute_force(spark):
         want.append((-1 if i is None else i, out(i), best, pytest.approx(min(1.0, max(0.0, c[best])), abs=1e-5)))
     got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.lang_pred, r.score) for r in langid.identify(docs).collect()]
     assert sorted(got) == sorted(want, key=lambda x: x[:3])
+
+
+def test_a_lang_column_of_too_many_values_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    rows_ = lambda n: spark.createDataFrame([(f"text number {k}", f"l{k % n}") for k in range(12)], "text string, lang string")
+    assert len(langid.learn(rows_(3), dim=64)[0]) == 3
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.learn(rows_(4), dim=64)

@@ -22,6 +22,8 @@ SEED = 20
 OWN_SLOTS = 1024
 SLOT_BITS = 11
 PIECE = 1 << 20
+#: Prototypes at most (8 MB at 512 places).
+MAX_LANGS = 2048
 _cache: dict = {}
 
 
@@ -110,7 +112,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 def learn(rows: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes, from rows (text, lang) with a non-null lang.
 
-    What reaches the driver is dim numbers for each distinct lang value, whatever the number of rows.
+    What reaches the driver is dim numbers for each distinct lang value, whatever the number of rows; more than MAX_LANGS values
+    are an error, as each prototype goes to every task.
     """
     schema = pa.schema([("lang", pa.string()), ("i", pa.int32()), ("v", pa.int64())])
 
@@ -130,8 +133,10 @@ def learn(rows: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[list[str],
 
     sums = gram_counts(rows.where("lang is not null")).mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     by: dict[str, np.ndarray] = {}
-    for lang, i, v in sums.collect():
+    for lang, i, v in sums.limit(MAX_LANGS * dim + 1).collect():
         by.setdefault(lang, np.zeros(dim))[i] = v
+    if len(by) > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values: not a column of languages")
     langs = sorted(by)
     p = np.array([by[g] for g in langs]).reshape(len(langs), dim)
     norm = np.linalg.norm(p, axis=1, keepdims=True)
