@@ -71,11 +71,16 @@ def blob_of(text: str) -> F.Column:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, version: int = RULE_VERSION) -> DataFrame:
     """New ledger rows (blob, rule_version, spans) for the blobs of ``docs`` (doc_id, text) that ``ledger`` lacks under ``version``.
 
-    spans is ``kind:start:end`` comma-joined, '' for a clean blob, so a clean one isn't read again either.
+    spans is ``kind:start:end`` comma-joined, '' for a clean blob, so a clean one isn't read again either. Addresses alone meet
+    the ledger; texts are read on for the blobs it lacks.
     """
     rows = docs.select("doc_id", "text").withColumn("blob", blob_of("text"))
     if ledger is not None:
-        rows = rows.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
+        known = ledger.where(F.col("rule_version") == version).select("blob").distinct()
+        unseen = written(rows.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+        if not unseen.take(1):
+            return docs.sparkSession.createDataFrame([], LEDGER)
+        rows = rows.join(broadcast_if_small(unseen, 96), "blob", "left_semi")
     # a blob of several rows is read where its least doc_id is; the many blobs of one row need no shuffle of texts
     several = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
     several = broadcast_if_small(written(several, "several"), 128)
