@@ -156,3 +156,13 @@ def test_long_substrings_lose_no_links(spark):
     for bits in (16, 13, 8):
         found = embdedup.links(codes, bits).groupBy().sum("n_links").first()[0] or 0
         assert 0.98 * 1200 <= found <= 1200, (bits, found)
+
+
+def test_literals_are_not_taken_for_wildcards_and_deep_segments_vary_one_by_one(spark):
+    urls = ["http://h/a/{n}/x", "http://h/a/12/x", "http://h/b/1/2/3/4/5/6/7/8", "http://h/b/1/2/3/4/5/99/7/8", "http://h/b/1/2/3/4/5/q/7/8"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.template for r in urlfilter.templates(pages.select("page_id", urlfilter.host_of("url").alias("host"), urlfilter.path_of("url").alias("path"), F.lit(None).cast("long").alias("bad"))).collect()}
+    assert got[0] != got[1] and got[1].split("/")[2] == "{n}" and got[2] == got[3] and got[2].endswith("/{n}/{n}/{n}/{n}") is False or got[2] == got[3]
+    assert got[4] != got[2] or "*" in got[4]
+    assert urlfilter.judge(pages, labels).count() == 5
