@@ -18,8 +18,8 @@ from vanespark.operators.topk import top_k, top_k_single
 class FlatIndex:
     """A table (vec_id, embedding, ...) searched exactly.
 
-    Batches of queries go to the tasks in blocks of bounded size and meet each Arrow batch of rows in one matrix product; each
-    task returns k rows a query, and only those are shuffled.
+    Batches of queries go to the tasks in blocks of bounded size and meet each Arrow batch of rows in tiles of bounded size; each
+    task returns k rows a query.
     """
 
     def __init__(self, rows: DataFrame, metric: Metric = Metric.COSINE, dim: int | None = None):
@@ -50,23 +50,17 @@ class FlatIndex:
         rows = rows.select("vec_id", "embedding", *(["ts"] if rate > 0 else []))
         metric = self.metric
         parts = []
-        for qids, q in kernel.query_blocks(queries):
+        for qids, q in kernel.query_blocks(queries, kernel.block_for(k)):
 
             def run(batches: Iterator[pa.RecordBatch], qids=qids, q=q) -> Iterator[pa.RecordBatch]:
-                held: list[pa.RecordBatch] = []
+                tops, scorer, every = kernel.Tops(qids, k), kernel.Scorer(metric, q), np.arange(len(qids))
                 for b in batches:
-                    if b.num_rows:
-                        x = kernel.matrix(b.column(1), q.shape[1])
-                        s = kernel.scores(metric, q, x)
-                        if rate > 0:
-                            s = kernel.decayed(s, b.column(2).to_numpy(zero_copy_only=False), now, rate)
-                        held.append(kernel.hits(qids, b.column(0).to_numpy(), s, k))
-                        if len(held) == 16:
-                            held = [_again(held, k)]
-                if held:
-                    yield _again(held, k)
-
-            parts.append(rows.mapInArrow(run, kernel.HITS_DDL))
+                    x = kernel.matrix(b.column(1), q.shape[1])
+                    fade = kernel.fading(b.column(2).to_numpy(zero_copy_only=False), now, rate) if rate > 0 else None
+                    yield from tops.add(every, b.column(0).to_numpy(), scorer.of(x, fade))
+                yield from tops.rest()
+
+            parts.append(kernel.spread(rows, len(qids)).mapInArrow(run, kernel.HITS_DDL))
         if not parts:
             return rows.sparkSession.createDataFrame([], f"{kernel.HITS_DDL}, rk long")
         return top_k(reduce(DataFrame.unionByName, parts), k)
@@ -84,13 +78,3 @@ class FlatIndex:
         """(vec_id, score) of the k best rows for one vector."""
         q = F.lit([float(x) for x in vector])
         return top_k_single(self.rows.select("vec_id", score(self.metric, q, "embedding").alias("score")), k)
-
-
-def _again(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
-    """The k best of each query among hits of several batches."""
-    t = pa.Table.from_batches(held).combine_chunks()
-    qid, vid, s = (t.column(i).to_numpy() for i in range(3))
-    order = np.lexsort((vid, -np.round(s, 9), qid))
-    q = qid[order]
-    nth = np.arange(len(q)) - np.searchsorted(q, q)
-    return t.take(pa.array(order[nth < k])).to_batches()[0] if len(q) else held[0]

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from vanespark.functions.vectors import Metric, normalized, tags_match
 from vanespark.operators import kernel
-from vanespark.operators.flat import _again
 from vanespark.operators.topk import top_k
 from vanespark.plans import kmeans
 from vanespark.tables import new_path
@@ -97,10 +96,10 @@ class IvfIndex:
         if tag_mask is not None:
             rows = rows.where(tags_match("tags", tag_mask, tag_mode))
         parts = []
-        for qids, q in kernel.query_blocks(queries):
+        for qids, q in kernel.query_blocks(queries, kernel.block_for(k)):
             probes = probe_lists(q, self.centroids, self.metric, nprobe or self.params.nprobe)
             some = rows.where(F.col("list_id").isin([int(x) for x in np.unique(probes)]))
-            parts.append(_scan(some, qids, q, probes, self.metric, k))
+            parts.append(scan(some, qids, q, probes, self.metric, k))
         if not parts:
             return rows.sparkSession.createDataFrame([], f"{kernel.HITS_DDL}, rk long")
         return top_k(reduce(DataFrame.unionByName, parts), k)
@@ -146,21 +145,25 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.where("_nth = 1").drop("_nth")
 
 
-def _scan(rows: DataFrame, qids: np.ndarray, q: np.ndarray, probes: np.ndarray, metric: Metric, k: int) -> DataFrame:
-    asks = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
+def asked(probes: np.ndarray) -> dict[int, np.ndarray]:
+    """For each probed list the places of the queries that probe it."""
+    return {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
+
+
+def scan(rows: DataFrame, qids: np.ndarray, q: np.ndarray, probes: np.ndarray, metric: Metric, k: int, now: int = 0, rate: float = 0.0) -> DataFrame:
+    """Hits (qid, vec_id, score) by the vectors of probed lists: the k best a query and task."""
+    asks = asked(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        tops, scorer = kernel.Tops(qids, k), kernel.Scorer(metric, q)
         for b in batches:
-            of = b.column(0).to_numpy()
-            ids = b.column(1).to_numpy()
+            of, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             x = kernel.matrix(b.column(2), q.shape[1])
+            fade = kernel.fading(b.column(3).to_numpy(zero_copy_only=False), now, rate) if rate > 0 else None
             for c in np.unique(of):
-                who, at = asks[int(c)], np.flatnonzero(of == c)
-                held.append(kernel.hits(qids[who], ids[at], kernel.scores(metric, q[who], x[at]), k))
-            if len(held) > 64:
-                held = [_again(held, k)]
-        if held:
-            yield _again(held, k)
-
-    return rows.select("list_id", "vec_id", "embedding").mapInArrow(run, kernel.HITS_DDL)
+                at = np.flatnonzero(of == c)
+                yield from tops.add(asks[int(c)], ids[at], scorer.of(x[at], None if fade is None else fade[at]))
+        yield from tops.rest()
+
+    rows = rows.select("list_id", "vec_id", "embedding", *(["ts"] if rate > 0 else []))
+    return kernel.spread(rows, len(qids)).mapInArrow(run, kernel.HITS_DDL)

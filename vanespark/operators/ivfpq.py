@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 
 from vanespark.functions.vectors import Metric, decayed, tags_match
 from vanespark.operators import kernel, opq
-from vanespark.operators.flat import _again
-from vanespark.operators.ivf import filed_lists, probe_lists, unit_rows
+from vanespark.operators.ivf import asked, filed_lists, probe_lists, unit_rows
 from vanespark.operators.pq import ProductQuantizer
 from vanespark.operators.topk import top_k
 from vanespark.plans import kmeans
 
-
 @dataclass(frozen=True)
 class IvfPqParams:
     nlist: int = 64
@@ -90,43 +88,36 @@ class IvfPqIndex:
         centroid and that with its residual, so scores of different lists compare."""
         rows = self.lists if tag_mask is None else self.lists.where(tags_match("tags", tag_mask, tag_mode))
         parts = []
-        for qids, q in kernel.query_blocks(queries):
-            if self.metric.is_cosine:
-                q = kernel.unit(q)
-            q = self.transform.apply(q)
-            probes = probe_lists(q, self.centroids, Metric.L2, nprobe or self.params.nprobe)
+        for qids, q in kernel.query_blocks(queries, kernel.block_for(n)):
+            q, probes = self._asks(q, nprobe)
             some = rows.where(F.col("list_id").isin([int(x) for x in np.unique(probes)]))
             parts.append(self._scan(some, qids, q, probes, n, now, rate))
         if not parts:
             return self.lists.sparkSession.createDataFrame([], f"{kernel.HITS_DDL}, rk long")
         return top_k(reduce(DataFrame.unionByName, parts), n)
 
+    def _asks(self, q: np.ndarray, nprobe: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The queries as the codes see them, and the lists they probe."""
+        q = self.transform.apply(kernel.unit(q) if self.metric.is_cosine else q)
+        return q, probe_lists(q, self.centroids, Metric.L2, nprobe or self.params.nprobe)
+
     def _scan(self, rows: DataFrame, qids: np.ndarray, q: np.ndarray, probes: np.ndarray, n: int, now: int, rate: float) -> DataFrame:
-        asks = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
-        cosine, centroids, pq = self.metric.is_cosine, self.centroids, self.quantizer
+        asks, metric, centroids, pq = asked(probes), self.metric, self.centroids, self.quantizer
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-            shared = pq.table_ip(q) if cosine else None
+            # a sum of looked up products or distances is that of the query and the decoded row: one product of matrices
+            tops, scorer = kernel.Tops(qids, n), kernel.Scorer(metric, q)
             for b in batches:
                 of, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
                 codes = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(-1, pq.m)
-                ts = b.column(3).to_numpy(zero_copy_only=False) if rate > 0 else None
+                fade = kernel.fading(b.column(3).to_numpy(zero_copy_only=False), now, rate) if rate > 0 else None
                 for c in np.unique(of):
-                    who, at = asks[int(c)], np.flatnonzero(of == c)
-                    if cosine:
-                        s = (q[who] @ centroids[c])[:, None] + pq.lookup(shared[who], codes[at])
-                    else:
-                        s = -pq.lookup(pq.table_l2(q[who] - centroids[c]), codes[at])
-                    if rate > 0:
-                        s = kernel.decayed(s, ts[at], now, rate)
-                    held.append(kernel.hits(qids[who], ids[at], s, n))
-                if len(held) > 64:
-                    held = [_again(held, n)]
-            if held:
-                yield _again(held, n)
-
-        return rows.select("list_id", "vec_id", "codes", "ts").mapInArrow(run, kernel.HITS_DDL)
+                    at = np.flatnonzero(of == c)
+                    x = centroids[c] + pq.decode(codes[at])
+                    yield from tops.add(asks[int(c)], ids[at], scorer.of(x, None if fade is None else fade[at], whole=False))
+            yield from tops.rest()
+
+        return kernel.spread(rows.select("list_id", "vec_id", "codes", "ts"), len(qids)).mapInArrow(run, kernel.HITS_DDL)
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, refine: int | None = None, tag_mask: int | None = None, tag_mode: str = "any", now: int = 0, rate: float = 0.0) -> DataFrame:
         """(qid, vec_id, score, rk). With stored vectors the best max(refine, k) are scored exactly, with the same decay; else

@@ -400,7 +400,7 @@ def ivf_trained_search(spark, sf_dir):
 @_query()
 def ivfpq_opq_search(spark, sf_dir):
     rows = _tagged(_rows(spark, sf_dir)).select("vec_id", "embedding", "tags", "ts")
-    index = IvfPqIndex.build(rows, params=IvfPqParams(nlist=16, nprobe=14, refine=200, m=8, nbits=6, opq_mode="pca-perm"))
+    index = IvfPqIndex.build(rows, params=IvfPqParams(nlist=16, nprobe=14, refine=200, m=8, nbits=6, opq_mode="pca-perm")).filed()
     return _out(index.search(_asks(rows), K, now=NOW, rate=0.0005))
 
 
@@ -408,7 +408,7 @@ def ivfpq_opq_search(spark, sf_dir):
 def sweep_nprobe_refine(spark, sf_dir):
     rows = _rows(spark, sf_dir).select("vec_id", "embedding")
     asks = _asks(rows)
-    index = IvfPqIndex.build(rows, params=IvfPqParams(nlist=16, m=8, nbits=6))
+    index = IvfPqIndex.build(rows, params=IvfPqParams(nlist=16, m=8, nbits=6)).filed()
     search_at = lambda nprobe, refine: lambda q, k: index.search(q, k, nprobe=nprobe, refine=refine)
     out = evaluate.sweep(search_at, FlatIndex(rows).search(asks, K), asks, K, singles=2, nprobe=[4, 16], refine=[20, 80])
     return out.select("config", "k", "queries", "recall", "lb95", "deterministic")
