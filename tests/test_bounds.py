@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from vanespark.functions.vectors import Metric
 from vanespark.operators import flat, kernel
@@ -64,3 +65,16 @@ def test_hits_beyond_what_a_task_holds_are_given_out_early(monkeypatch):
     s = kernel.scores(Metric.L2, q, np.delete(x, 7, axis=0))
     ids = np.delete(np.arange(5_000), 7)
     assert all(got[i] == list(ids[np.lexsort((ids, -np.round(s[i], 9)))[:60]]) for i in range(30))
+
+
+def test_ranking_all_of_the_probed_rows_again_writes_no_list_of_pairs(spark, sf):
+    from vanespark.operators.flat import FlatIndex
+    from vanespark.operators.ivfpq import IvfPqIndex, IvfPqParams
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("ts", F.col("vec_id") * 3)
+    asks = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    index = IvfPqIndex.build(rows, params=IvfPqParams(nlist=4, nprobe=4, refine=1 << 30, m=8, nbits=4)).filed()
+    found = index.search(asks, 5, now=1500, rate=0.01)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda hits: {(r.qid, r.rk, r.vec_id, round(r.score, 6)) for r in hits.collect()}
+    assert key(found) == key(FlatIndex(rows).search(asks, 5, now=1500, rate=0.01))

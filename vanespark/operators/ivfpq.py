@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from vanespark.functions.vectors import Metric, decayed, tags_match
 from vanespark.operators import kernel, opq
-from vanespark.operators.ivf import asked, filed_lists, probe_lists, unit_rows
+from vanespark.operators.ivf import asked, filed_lists, probe_lists, scan, unit_rows
 from vanespark.operators.pq import ProductQuantizer
 from vanespark.operators.topk import top_k
 from vanespark.plans import kmeans
 
+#: From so many candidates a query, a search asks whether they are all that its lists hold.
+MANY = 10_000
+
+
 @dataclass(frozen=True)
 class IvfPqParams:
     nlist: int = 64
@@ -101,6 +105,11 @@ class IvfPqIndex:
         q = self.transform.apply(kernel.unit(q) if self.metric.is_cosine else q)
         return q, probe_lists(q, self.centroids, Metric.L2, nprobe or self.params.nprobe)
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Rows of each list, falling."""
+        return np.sort([r[1] for r in self.lists.groupBy("list_id").count().collect()])[::-1]
+
     def _scan(self, rows: DataFrame, qids: np.ndarray, q: np.ndarray, probes: np.ndarray, n: int, now: int, rate: float) -> DataFrame:
         asks, metric, centroids, pq = asked(probes), self.metric, self.centroids, self.quantizer
 
@@ -123,11 +132,26 @@ class IvfPqIndex:
         """(qid, vec_id, score, rk). With stored vectors the best max(refine, k) are scored exactly, with the same decay; else
         the lookup's scores stand."""
         n = max(refine if refine is not None else self.params.refine, k)
+        if self.params.store_vectors and n >= MANY and n >= self.sizes[: nprobe or self.params.nprobe].sum():
+            return self._exact(queries, k, nprobe, tag_mask, tag_mode, now, rate)
         found = self.candidates(queries, n, nprobe, tag_mask, tag_mode, now, rate)
         if not self.params.store_vectors:
             return found.where(F.col("rk") <= k)
         return rescored(found, queries, self.lists.select("vec_id", "embedding", "ts"), self.metric, k, now, rate)
 
+    def _exact(self, queries: DataFrame, k: int, nprobe: int | None, tag_mask: int | None, tag_mode: str, now: int, rate: float) -> DataFrame:
+        """A search that ranks again whatever it probes: the vectors of the probed lists are scored where they are, and no list of
+        all pairs is written for that."""
+        rows = self.lists if tag_mask is None else self.lists.where(tags_match("tags", tag_mask, tag_mode))
+        parts = []
+        for qids, q in kernel.query_blocks(queries, kernel.block_for(k)):
+            probes = self._asks(q, nprobe)[1]
+            some = rows.where(F.col("list_id").isin([int(x) for x in np.unique(probes)]))
+            parts.append(scan(some, qids, q, probes, self.metric, k, now, rate))
+        if not parts:
+            return self.lists.sparkSession.createDataFrame([], f"{kernel.HITS_DDL}, rk long")
+        return top_k(reduce(DataFrame.unionByName, parts), k)
+
 
 def rescored(found: DataFrame, queries: DataFrame, rows: DataFrame, metric: Metric, k: int, now: int = 0, rate: float = 0.0) -> DataFrame:
     """The k best of candidates (qid, vec_id) by their vectors, which are fetched only now (late materialisation)."""
