@@ -78,3 +78,23 @@ def test_ranking_all_of_the_probed_rows_again_writes_no_list_of_pairs(spark, sf)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     key = lambda hits: {(r.qid, r.rk, r.vec_id, round(r.score, 6)) for r in hits.collect()}
     assert key(found) == key(FlatIndex(rows).search(asks, 5, now=1500, rate=0.01))
+
+
+def test_a_sweep_makes_the_truth_once(spark):
+    from vanespark.plans import evaluate
+
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    truth = spark.range(6).selectExpr("id AS qid", "id AS vec_id").mapInArrow(run, "qid long, vec_id long")
+    asks = spark.range(6).selectExpr("id AS qid", "array(1.0f, float(id)) AS embedding")
+    answer = lambda n: lambda q, k: q.selectExpr("qid", "qid AS vec_id", "1L AS rk").where(f"qid < {n}")
+    got = {r.config: r for r in evaluate.sweep(answer, truth, asks, 1, singles=1, n=[3, 6]).collect()}
+    assert made.value == 6
+    assert [got[f"n={n}"].recall for n in (3, 6)] == [0.5, 1.0] and all(r.deterministic for r in got.values())
+    shaky = lambda n: lambda q, k: q.selectExpr("qid", "uuid() AS vec_id", "1L AS rk").selectExpr("qid", "xxhash64(vec_id) AS vec_id", "rk")
+    assert not evaluate.sweep(shaky, truth, asks, 1, singles=0, n=[1]).first().deterministic

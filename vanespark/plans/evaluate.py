@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vanespark.tables import written
+
 Search = Callable[[DataFrame, int], DataFrame]
 
 
@@ -109,13 +111,12 @@ def measure(search: Search, truth: DataFrame, queries: DataFrame, k: int, config
     """Recall and its lower bound, seconds for the whole batch, its repeatability, and latencies of ``singles`` lone queries."""
     search(queries.limit(1), k).collect()
     began = time.perf_counter()
-    first = search(queries, k).collect()
+    first = written(search(queries, k).select("qid", "rk", "vec_id"), "hits")
     took = time.perf_counter() - began
-    again = search(queries, k).collect()
-    key = lambda rows: sorted((r["qid"], r["rk"], r["vec_id"]) for r in rows)
+    twice = first.unionByName(search(queries, k).select("qid", "rk", "vec_id")).groupBy("qid", "rk", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+    same = twice.where("n <> 2").isEmpty()
     spark = queries.sparkSession
-    found = spark.createDataFrame([(r["qid"], r["vec_id"]) for r in first], "qid long, vec_id long")
-    hits = recall(truth, found, k).agg(F.sum("hits"), F.count(F.lit(1))).first()
+    hits = recall(truth, first, k).agg(F.sum("hits"), F.count(F.lit(1))).first()
     n = (hits[1] or 0) * k
     lone = []
     for r in queries.limit(singles).collect():
@@ -125,18 +126,19 @@ def measure(search: Search, truth: DataFrame, queries: DataFrame, k: int, config
         lone.append((time.perf_counter() - t) * 1000)
     share = (hits[0] or 0) / n if n else 0.0
     at = [percentile(lone, p) if lone else None for p in (0.5, 0.9, 0.95, 0.99)]
-    return Run(config, k, hits[1] or 0, share, wilson_lower_value(hits[0] or 0, n), took, (hits[1] or 0) / took, len(lone), len(lone) / sum(lone) * 1000 if lone else None, *at, key(first) == key(again))
+    return Run(config, k, hits[1] or 0, share, wilson_lower_value(hits[0] or 0, n), took, (hits[1] or 0) / took, len(lone), len(lone) / sum(lone) * 1000 if lone else None, *at, same)
 
 
 def curve(search_at: Callable[[int], Search], truth: DataFrame, queries: DataFrame, k: int, most: int, singles: int = SINGLES) -> DataFrame:
     """Runs for nprobe 1, 2, 4, ... up to ``most``."""
+    truth = written(truth, "truth")
     steps = [1 << i for i in range(most.bit_length()) if 1 << i <= most]
     return runs_table(queries, [measure(search_at(n), truth, queries, k, f"nprobe={n}", singles) for n in steps])
 
 
 def sweep(search_at: Callable[..., Search], truth: DataFrame, queries: DataFrame, k: int, singles: int = SINGLES, **grid: list) -> DataFrame:
     """Runs for every combination of the grid's values."""
-    names = list(grid)
+    names, truth = list(grid), written(truth, "truth")
     out = []
     for values in product(*grid.values()):
         config = dict(zip(names, values))
