@@ -98,3 +98,22 @@ def test_a_sweep_makes_the_truth_once(spark):
     assert [got[f"n={n}"].recall for n in (3, 6)] == [0.5, 1.0] and all(r.deterministic for r in got.values())
     shaky = lambda n: lambda q, k: q.selectExpr("qid", "uuid() AS vec_id", "1L AS rk").selectExpr("qid", "xxhash64(vec_id) AS vec_id", "rk")
     assert not evaluate.sweep(shaky, truth, asks, 1, singles=0, n=[1]).first().deterministic
+
+
+def test_the_sql_form_sorts_no_table_of_all_pairs(spark):
+    from vanespark.operators.flat import FlatIndex
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6_000, 4)).round(1)
+    x[3_000:] = x[0]  # many copies: ties at the last place
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(6_000, None), (6_001, [1.0]), (6_002, [0.0] * 4), (6_003, [float("nan")] * 4)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    asks = rows.where("vec_id % 500 = 0 AND vec_id < 6000").selectExpr("vec_id AS qid", "embedding")
+    whole = rows.where("vec_id < 6000 OR vec_id = 6002")
+    key = lambda hits: {(r.qid, r.rk, r.vec_id, round(r.score, 6)) for r in hits.collect()}
+    for metric in Metric:
+        found = FlatIndex(rows, metric).search_sql(asks, 5)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        assert key(found) == key(FlatIndex(whole, metric).search(asks, 5))
+        pairs = found._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location().inputFiles()
+        assert spark.read.parquet(*pairs).count() < 12 * 6_000 / 10

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vanespark.functions.vectors import Metric, dot, normalized, score
+from vanespark.functions.vectors import Metric, normalized, score
 from vanespark.operators import kernel
 from vanespark.operators.topk import top_k, top_k_single
+from vanespark.tables import written
 
 
 class FlatIndex:
@@ -66,15 +67,50 @@ class FlatIndex:
         return top_k(reduce(DataFrame.unionByName, parts), k)
 
     def search_sql(self, queries: DataFrame, k: int) -> DataFrame:
-        """As :meth:`search`, in column expressions alone: for a small query table, which is broadcast under Spark's own size
-        check and else joined as a nested loop."""
-        whole = normalized if self.metric.is_cosine else lambda v: F.col(v).cast("array<double>")
-        q = queries.select("qid", whole("embedding").alias("_q"))
-        scored = self.rows.select("vec_id", whole("embedding").alias("_v")).join(q)  # lengths are taken once a row, not once a pair
-        s = dot("_q", "_v") if self.metric.is_cosine else score(self.metric, "_q", "_v")
-        return top_k(scored.select("qid", "vec_id", s.alias("score")), k)
+        """As :meth:`search`, in column expressions alone. Vectors are columns of numbers, so that a pair's score is compiled code.
+
+        Pairs are never sorted as a whole: the best of a sample of rows, chosen by a hash of the id, hold a query's k-th place
+        from below, and of sixteen times as many rows only those that reach it are written and ranked, up to all rows. Queries
+        are broadcast in blocks of bounded size.
+        """
+        spark = self.rows.sparkSession
+        dim, n = self.rows.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)), F.count(F.lit(1))).first()
+        dealt = max(spark.sparkContext.defaultParallelism, 12)
+        blocks = max(1, -(-queries.count() // kernel.BLOCK_QUERIES))
+        q, v = ([F.col(f"{c}{i}") for i in range(dim)] for c in "qv")
+        terms = [a * b if self.metric.is_cosine else (a - b) * (a - b) for a, b in zip(q, v)]
+        total = reduce(lambda s, x: s + x, terms, F.lit(0.0))
+        score_ = total if self.metric.is_cosine else -total
+        step = 1
+        while n >= 512 * k * step:
+            step *= 16
+        kth = spark.range(0).select(F.col("id").alias("qid"), F.col("id").alias("_at"), F.lit(0.0).alias("_s"))
+        while True:
+            some = self.rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0) if step > 1 else self.rows
+            some = _unrolled(some, "vec_id", "v", dim, self.metric).repartition(dealt, "vec_id")  # not from a file: its columns could be null
+            low = _unrolled(queries, "qid", "q", dim, self.metric).join(kth, "qid", "left")
+            low = low.withColumn("_low", F.coalesce(F.col("_s") - 1e-9, F.lit(-float("inf")))).withColumn("_high", F.coalesce(F.col("_s") + 4e-10, F.lit(-float("inf"))))
+            # equal lengths as two comparisons: an equality would be a join by a key that all rows share
+            fits = (F.col("qn") <= F.col("vn")) & (F.col("qn") >= F.col("vn")) & (score_ >= F.when(F.col("vec_id") > F.coalesce("_at", F.lit((1 << 63) - 1)), F.col("_high")).otherwise(F.col("_low")))
+            of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+            pairs = [some.join(F.broadcast(low.where(of == i)), fits).select("qid", "vec_id", score_.alias("score")) for i in range(blocks)]  # BLOCK_QUERIES rows
+            best = top_k(written(reduce(DataFrame.unionByName, pairs), "pairs"), k)
+            if step == 1:
+                return best
+            floors = best.where(F.col("rk") == k).select("qid", F.col("vec_id").alias("_at"), F.round("score", kernel.DECIMALS).alias("_s"))
+            kth = written(floors, "floors")
+            step //= 16
 
     def search_one(self, vector: list[float], k: int) -> DataFrame:
         """(vec_id, score) of the k best rows for one vector."""
         q = F.lit([float(x) for x in vector])
         return top_k_single(self.rows.select("vec_id", score(self.metric, q, "embedding").alias("score")), k)
+
+
+def _unrolled(rows: DataFrame, id_col: str, name: str, dim: int, metric: Metric) -> DataFrame:
+    """(id, length, a column for each of ``dim`` places), zeros beyond a vector's length; of length one under cosine. Vectors that
+    are null or hold nulls score nothing and are left out."""
+    whole = normalized("embedding") if metric.is_cosine else F.col("embedding").cast("array<double>")
+    rows = rows.where(F.col("embedding").isNotNull() & ~F.exists("embedding", F.isnull)).select(id_col, whole.alias("_v"))
+    places = (F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0)).alias(f"{name}{i}") for i in range(dim))
+    return rows.select(id_col, F.size("_v").alias(f"{name}n"), *places)
