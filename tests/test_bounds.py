@@ -4,10 +4,11 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from vanespark.functions.vectors import Metric
-from vanespark.operators import flat, kernel
+from vanespark.operators import flat, ivf, ivfpq, kernel, opq, pq
 
 
 def _in_a_task(q, x, k, metric=Metric.COSINE, now=0, rate=0.0):
@@ -67,6 +68,74 @@ def test_hits_beyond_what_a_task_holds_are_given_out_early(monkeypatch):
     assert all(got[i] == list(ids[np.lexsort((ids, -np.round(s[i], 9)))[:60]]) for i in range(30))
 
 
+class _Rows:
+    """A table that keeps the function a search gives to its tasks."""
+
+    sparkSession = type("S", (), {"sparkContext": type("C", (), {"defaultParallelism": 1})})
+
+    def select(self, *_):
+        return self
+
+    def repartition(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def _traced(run, batch):
+    """(qid -> ids, best first, and peak bytes) of a task over one Arrow batch."""
+    tracemalloc.start()
+    got = list(run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    hits: dict = {}
+    for b in got:
+        for i, v, s in zip(*(b.column(j).to_pylist() for j in range(3))):
+            hits.setdefault(i, []).append((-round(s, 9), v))
+    return {i: [v for _, v in sorted(r)] for i, r in hits.items()}, peak
+
+
+@pytest.mark.parametrize("metric, rate", [(Metric.L2, 0.0), (Metric.COSINE, 0.01)])
+def test_decay_and_lengths_are_of_a_tile(metric, rate):
+    rng = np.random.default_rng(4)
+    q, x = rng.normal(size=(4096, 16)), rng.normal(size=(10_000, 16))
+    got, peak = _in_a_task(q, x, 5, metric, now=1500, rate=rate)
+    s = kernel.scores(metric, q[:100], x)
+    s = np.round(kernel.decayed(s, kernel.fading(np.arange(len(x)), 1500, rate)) if rate else s, 9)
+    assert all(got[i] == list(np.lexsort((np.arange(len(x)), -s[i]))[:5]) for i in range(100))
+    assert len(got) == 4096 and peak < 100e6
+
+
+def test_lists_that_are_probed_meet_their_queries_in_tiles():
+    rng = np.random.default_rng(5)
+    q, x, of = rng.normal(size=(4096, 16)), rng.normal(size=(10_000, 16)), np.arange(10_000) % 2
+    rows, probes = _Rows(), np.array([[0, 1], [1, 2]])[np.arange(4096) % 2]
+    ivf.scan(rows, np.arange(4096), q, probes, Metric.COSINE, 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float64()))], names=["list_id", "vec_id", "embedding"])
+    got, peak = _traced(rows.run, batch)
+    s = np.round(kernel.scores(Metric.COSINE, q[:100], x), 9)
+    for i in range(100):
+        seen = np.flatnonzero(np.isin(of, probes[i]))
+        assert got[i] == list(seen[np.lexsort((seen, -s[i, seen]))[:5]])
+    assert len(got) == 4096 and peak < 100e6
+
+
+def test_candidates_by_codes_come_from_tiles():
+    rng = np.random.default_rng(6)
+    books = pq.ProductQuantizer(rng.normal(size=(4, 32, 4)))
+    q, codes = rng.normal(size=(4096, 16)), books.encode(rng.normal(size=(10_000, 16)))
+    rows = _Rows()
+    index = ivfpq.IvfPqIndex(Metric.COSINE, ivfpq.IvfPqParams(nlist=1, nprobe=1), opq.Transform(16), np.zeros((1, 16)), books, rows)
+    index._scan(rows, np.arange(4096), kernel.unit(q), np.zeros((4096, 1), dtype=int), 40, 0, 0.0)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(10_000), pa.int32()), pa.array(np.arange(10_000)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.arange(10_000))], names=["list_id", "vec_id", "codes", "ts"])
+    got, peak = _traced(rows.run, batch)
+    s = np.round(kernel.unit(q[:100]) @ books.decode(codes).T, 9)
+    assert all(got[i] == list(np.lexsort((np.arange(10_000), -s[i]))[:40]) for i in range(100))
+    assert len(got) == 4096 and peak < 150e6
+
+
 def test_ranking_all_of_the_probed_rows_again_writes_no_list_of_pairs(spark, sf):
     from vanespark.operators.flat import FlatIndex
     from vanespark.operators.ivfpq import IvfPqIndex, IvfPqParams
